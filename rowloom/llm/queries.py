@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import splits
+from rowloom.llm import leaks, splits, tokens
 from rowloom.sources.tables import read_table
 
 
@@ -10,6 +10,14 @@ def _items(spark, d):
     return read_table(spark, d, "dataset_item")
 
 
+def _docs(spark, d):
+    return read_table(spark, d, "documents")
+
+
+def p8_found(spark, d):
+    return leaks.leaked_items(_docs(spark, d), read_table(spark, d, "eval_item"))
+
+
 def p1_splits(spark, d):
     """Every record with its group and split."""
     return splits.assign_splits(_items(spark, d)).withColumnRenamed("record", "sample_idx")
@@ -25,6 +33,10 @@ QUERIES = {
     "p1_found": lambda s, d: splits.multi_user_groups(_items(s, d)),
     "p1_splits": p1_splits,
     "p1_report": p1_report,
+    "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
+    "p7_token_counts": lambda s, d: tokens.token_counts(_docs(s, d)),
+    "p8_found": p8_found,
+    "p8_report": lambda s, d: leaks.leak_report(_docs(s, d), read_table(s, d, "eval_item"), p8_found(s, d)),
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
