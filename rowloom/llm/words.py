@@ -68,3 +68,24 @@ def lcs_length(a: list, b: list) -> int:
             hit = row & match
             row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
+
+
+#: Words of an answer that says nothing, after folding, joined by one space.
+NOTHING = {
+    "", "n a", "na", "nan", "nil", "none", "null", "no answer", "no response", "no output", "no data", "no comment", "not available", "not applicable",
+    "empty", "blank", "tbd", "todo", "missing", "unknown", "undefined", "placeholder", "answer", "your answer here", "insert answer here", "see above",
+    "keine antwort", "sans réponse", "sin respuesta", "无", "無", "なし", "空", "没有", "無し",
+}
+
+
+def says_nothing(text: str | None) -> bool:
+    """Whether an answer is null, blank, only marks or markup, or a placeholder."""
+    if text is None:
+        return True
+    if len(text) > 60:
+        return not words(strip_markup(text)) and not any(unicodedata.category(c) == "So" for c in text)
+    found = " ".join(words(strip_markup(text)))
+    if found:
+        return found in NOTHING
+    # a lone symbol such as an emoji can be an answer; marks and blanks can't
+    return not any(unicodedata.category(c) == "So" for c in text)
