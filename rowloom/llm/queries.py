@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import leaks, overlap, splits, tokens
+from rowloom.llm import leaks, overlap, sentences, splits, tokens
 from rowloom.sources.tables import read_table
 
 
@@ -39,6 +39,7 @@ QUERIES = {
     "p7_token_counts": lambda s, d: tokens.token_counts(_docs(s, d)),
     "p8_found": p8_found,
     "p8_report": lambda s, d: leaks.leak_report(_docs(s, d), read_table(s, d, "eval_item"), p8_found(s, d)),
+    "p9_found": lambda s, d: sentences.split_sentences(_docs(s, d)),
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
