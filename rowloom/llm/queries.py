@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import leaks, overlap, sentences, splits, tokens
+from rowloom.llm import leaks, overlap, pairs, sentences, splits, tokens
 from rowloom.sources.tables import read_table
 
 
@@ -33,6 +33,8 @@ QUERIES = {
     "p1_found": lambda s, d: splits.multi_user_groups(_items(s, d)),
     "p1_splits": p1_splits,
     "p1_report": p1_report,
+    "p3_found": lambda s, d: pairs.broken_pairs(_items(s, d)),
+    "p3_report": lambda s, d: pairs.defect_report(_items(s, d), pairs.broken_pairs(_items(s, d))),
     "p4_found": lambda s, d: overlap.overlapping_pairs(_items(s, d)).select("sample_a", "sample_b").distinct(),
     "p4_report": lambda s, d: overlap.overlap_report(_items(s, d)),
     "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
