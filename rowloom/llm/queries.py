@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import leaks, overlap, pairs, sentences, splits, tokens
+from rowloom.llm import leaks, overlap, pairs, privacy, sentences, splits, tokens
 from rowloom.sources.tables import read_table
 
 
@@ -18,6 +18,10 @@ def p8_found(spark, d):
     return leaks.leaked_items(_docs(spark, d), read_table(spark, d, "eval_item"))
 
 
+def _texts(spark, d):
+    return privacy.personal_fields(_items(spark, d), read_table(spark, d, "text_generation_sample"))
+
+
 def p1_splits(spark, d):
     """Every record with its group and split."""
     return splits.assign_splits(_items(spark, d)).withColumnRenamed("record", "sample_idx")
@@ -33,6 +37,8 @@ QUERIES = {
     "p1_found": lambda s, d: splits.multi_user_groups(_items(s, d)),
     "p1_splits": p1_splits,
     "p1_report": p1_report,
+    "p2_found": lambda s, d: privacy.find_personal(_texts(s, d)),
+    "p2_redacted": lambda s, d: privacy.redact(_texts(s, d)),
     "p3_found": lambda s, d: pairs.broken_pairs(_items(s, d)),
     "p3_report": lambda s, d: pairs.defect_report(_items(s, d), pairs.broken_pairs(_items(s, d))),
     "p4_found": lambda s, d: overlap.overlapping_pairs(_items(s, d)).select("sample_a", "sample_b").distinct(),
