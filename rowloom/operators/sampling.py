@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import distance
+from rowloom.operators.order import with_position
+from rowloom.session import durable
 
 
 def hash_order(*columns: Column | str, seed: int = 42) -> Column:
@@ -80,9 +82,8 @@ def oversample(kept: DataFrame, want: int, key: str) -> DataFrame:
     n = kept.count()
     if not n:
         return kept.withColumn("copy", F.lit(0))
-    rank = F.row_number().over(Window.orderBy(hash_order(key), key)) - 1
     copies = F.floor((F.lit(want - 1) - F.col("_r")) / n).cast("int")
-    return kept.withColumn("_r", rank).withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(0))))).drop("_r")
+    return with_position(kept, hash_order(key), key, name="_r").withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(0))))).drop("_r")
 
 
 def cluster_outliers(vectors: DataFrame, per_cluster: int, cluster: str = "label", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -97,8 +98,6 @@ def cluster_outliers(vectors: DataFrame, per_cluster: int, cluster: str = "label
 
 def farthest_first(vectors: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """A diverse set of k vectors: each next one is farthest from those chosen (k passes over a written table)."""
-    from rowloom.session import durable
-
     rest = durable(vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))).withColumn("d", F.lit(None).cast("double"))
     chosen = []
     last = rest.orderBy("key").first()

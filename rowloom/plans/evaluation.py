@@ -9,6 +9,7 @@ from rowloom.functions import parsing, text
 from rowloom.operators import metrics as m
 from rowloom.operators import sampling
 from rowloom.sources.tables import read_table
+from rowloom.streaming import incremental
 
 
 def _items(s, d):
@@ -143,6 +144,11 @@ def fewshot(s, d):
     return _items(s, d).where("split = 'train'").select("source", "sample_idx", rank.alias("n")).where("n <= 5").select("source", "sample_idx", F.col("n").cast("long").alias("n"))
 
 
+def windowed(s, d):
+    rows = incremental.windowed_counts(read_table(s, d, "events"), window="1 day")
+    return rows.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.sum("n").alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
 QUERIES = {
     "q_answer_extraction": answer_extraction,
     "q_regex_parse_fields": parse_fields,
@@ -166,6 +172,7 @@ QUERIES = {
     "q_distinct_profile_combos": distinct_profiles,
     "q_eval_samples": eval_samples,
     "q_fewshot_first_n": fewshot,
+    "q_windowed_counts": windowed,
     "q_overlap_audit": lambda s, d: sampling.overlap_audit(_items(s, d), "split", F.lower("user_id"), F.col("input"), F.col("output")),
 }
 
@@ -175,6 +182,7 @@ _STRIP = "regexp_replace(regexp_replace({0}, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{
 _LIST = "list_transform(string_split(nullif(regexp_extract(input, '\\[([^\\]]+)\\]', 1), ''), ','), lambda x: trim(x))"
 
 ORACLE = {
+    "q_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL",
     "q_rating_metrics": f"""
         WITH r AS (SELECT split, coalesce(CASE WHEN regexp_matches(trim(output, {_BL}), {_NUM}) THEN try_cast(trim(output, {_BL}) AS DOUBLE) END, try_cast(nullif(regexp_extract(output, '(-?[0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE)) AS p, sample_idx % 5 + 1 AS t FROM dataset_item WHERE source = 'lamp_product')
         SELECT split, count(p) AS n_read, round(coalesce(avg(abs(p - t)), 0), 6) AS mae, round(coalesce(sqrt(avg((p - t) * (p - t))), 0), 6) AS rmse, round(coalesce(1 - avg(abs(p - t)) / 5, 0), 6) AS stsb FROM r GROUP BY split""",
