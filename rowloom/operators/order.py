@@ -21,4 +21,4 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "_pos") -> Da
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row per part
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*names)) - 1
-    return parts.withColumn("_r", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_part", "_r", "_before", *names)
+    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before", *names)
