@@ -42,3 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """`df` in enough parts to keep every core busy with costly row functions.
+
+    A large table is read in far more parts than there are cores and comes back as it is; only one that a few tasks would
+    read is dealt out to more.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
