@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.words import cjk_share, fold, word_code, words
+from rowloom.session import spread
 
 #: A leak: so many consecutive words of the passage with at most so many altered, or so many consecutive characters.
 RUN_WORDS, ALTERED, RUN_CHARS = 20, 2, 50
@@ -126,31 +127,47 @@ class ItemIndex:
         item = self.owner[pairs[1]]
         diagonal = pairs[0] - base[doc] - self.offset[pairs[1]]
         triples = np.unique(np.stack([doc, item, diagonal]), axis=1)
-        result: set[tuple[int, int]] = set()
-        for d, i, shift in triples.T.tolist():
-            if (d, i) not in result and self.verify(docs[d], self.codes[i], shift):
+        sure, maybe = self._runs(flat, base, *triples)
+        result = set(map(tuple, triples[:2, sure].T.tolist()))
+        for d, i, shift in triples[:, maybe & ~sure].T.tolist():
+            if (d, i) not in result and self._edited(docs[d], self.codes[i], shift):
                 result.add((d, i))
         return result
 
-    def verify(self, doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
-        """Whether some run of the item stands in the document around this diagonal within the allowed edit distance."""
-        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        if hi - lo >= self.run:
-            off = np.r_[0, np.cumsum(item[lo:hi] != doc[lo + shift : hi + shift])]
-            if (off[self.run :] - off[: -self.run]).min() <= self.altered:
-                return True
-        if not self.altered:
-            return False
-        # within the allowed edits a run's other words all stand on a few diagonals: a quick necessary condition
-        near = np.zeros(len(item), dtype=bool)
-        for d in range(shift - 2 * self.altered, shift + 2 * self.altered + 1):
-            lo, hi = max(0, -d), min(len(item), len(doc) - d)
-            if hi > lo:
-                near[lo:hi] |= item[lo:hi] == doc[lo + d : hi + d]
-        there = np.r_[0, np.cumsum(near)]
-        if (there[self.run :] - there[: -self.run]).max() < self.run - self.altered:
-            return False
-        return self._edited(doc, item, shift)
+    def _runs(self, flat: np.ndarray, base: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For many diagonals at once: whether a run of the item stands there with few enough words altered; and whether it
+        could with words left out or put in, whose other words then all stand on a few diagonals nearby."""
+        sure, maybe = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+        sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
+        item_base = np.r_[0, np.cumsum(sizes)]
+        items = np.concatenate(self.codes)
+        reach = 2 * self.altered
+        for lo in range(0, len(doc), 5_000):
+            d, i, sh = doc[lo : lo + 5_000], item[lo : lo + 5_000], shift[lo : lo + 5_000]
+            n = sizes[i]
+            first = np.r_[0, np.cumsum(n)[:-1]]
+            pos = np.arange(n.sum()) - np.repeat(first, n)
+            word = items[np.repeat(item_base[i], n) + pos]
+            at = np.repeat(sh, n) + pos
+            length, start = np.repeat(base[d + 1] - base[d], n), np.repeat(base[d], n)
+            near = np.zeros(len(pos), dtype=bool)
+            for step in sorted(range(-reach, reach + 1), key=abs):
+                q = at + step
+                equal = (q >= 0) & (q < length)
+                equal[equal] = flat[(start + q)[equal]] == word[equal]
+                near |= equal
+                if step == 0:
+                    sure[lo : lo + 5_000] = self._any_run(equal, first, n)
+            maybe[lo : lo + 5_000] = self._any_run(near, first, n) if reach else False
+        return sure, maybe
+
+    def _any_run(self, hit: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Per segment, whether some `run` places in a row hold all but `altered` hits."""
+        total = np.r_[0, np.cumsum(hit)]
+        last = np.maximum(np.repeat(first + n, n) - self.run, 0)
+        place = np.arange(len(hit))
+        good = (place <= last) & (total[np.minimum(place + self.run, len(hit))] - total[place] >= self.run - self.altered)
+        return np.add.reduceat(good, first) > 0
 
     def _edited(self, doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
         """The same with words left out or put in: greedy furthest reach per start and diagonal, for few edits."""
@@ -208,7 +225,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     short texts match nothing; repeated documents are each reported; items with equal text are all reported.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
     item_kind = items.schema[item].dataType.simpleString()
     results = []

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import durable
+from rowloom.session import durable, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Vote patterns kept for fitting, by frequency; a pattern is a type with its votes and marks.
@@ -329,7 +329,7 @@ def fit_classifier(texts: DataFrame) -> SpanClassifier:
                 total.update(c)
             yield pd.DataFrame(list(total.items()), columns=["p", "n"]).astype({"n": "int64"})
 
-    counts = texts.select("text").mapInPandas(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    counts = spread(texts.select("text")).mapInPandas(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
     return SpanClassifier({r["p"]: float(r["n"]) for r in durable(counts).orderBy(F.desc("n"), "p").limit(PATTERNS).collect()})
 
 
@@ -357,7 +357,7 @@ def find_personal(texts: DataFrame, model: SpanClassifier | None = None) -> Data
                 out += [(field, row, kind, s, e) for kind, s, e in found]
             yield pd.DataFrame(out, columns=["field", "row_id", "pii_type", "start_pos", "end_pos"]).astype({"row_id": "int64", "start_pos": "int64", "end_pos": "int64"})
 
-    return texts.select("field", "row_id", "text").mapInPandas(run, "field string, row_id long, pii_type string, start_pos long, end_pos long")
+    return spread(texts.select("field", "row_id", "text")).mapInPandas(run, "field string, row_id long, pii_type string, start_pos long, end_pos long")
 
 
 def redact(texts: DataFrame, model: SpanClassifier | None = None) -> DataFrame:

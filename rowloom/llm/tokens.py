@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.session import spread
+
 #: Folder of the vocabulary files; a parameter of every function that needs one.
 TOKENIZERS = os.environ.get("ROWLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -133,7 +135,7 @@ def encode_corpus(df: DataFrame, text: str = "text", key: str = "doc_id", vocabu
                 texts = [t if isinstance(t, str) else None for t in part["text"]]
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "ids": encoder.encode(texts)})
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInPandas(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
