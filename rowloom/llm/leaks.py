@@ -53,18 +53,21 @@ def walk_signatures(codes: np.ndarray, starts: np.ndarray, width: int, walks: in
     return out
 
 
-def _text_codes(text: str, by_char: bool, store: dict) -> np.ndarray:
+class WordCodes(dict):
+    """Codes of words met before; a new word's code is worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = word_code(word)
+        return code
+
+
+def _text_codes(text: str, by_char: bool, store: WordCodes) -> np.ndarray:
     if by_char:
-        return np.array([ord(c) for c in "".join(words(text))], dtype=np.uint64)
-    found = []
-    for w in words(text):
-        code = store.get(w)
-        if code is None:
-            if len(store) > 500_000:
-                store.clear()
-            code = store[w] = word_code(w)
-        found.append(code)
-    return np.array(found, dtype=np.uint64)
+        return np.frombuffer("".join(words(text)).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    found = words(text)
+    return np.fromiter(map(store.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 class ItemIndex:
@@ -75,7 +78,7 @@ class ItemIndex:
         self.width, self.step, self.run = (CHAR_WINDOW, CHAR_STEP, RUN_CHARS) if by_char else (WORD_WINDOW, WORD_STEP, RUN_WORDS)
         self.altered = 0 if by_char else ALTERED
         self.ids = [i for i, _ in items]
-        self.codes = [_text_codes(t, by_char, {}) for _, t in items]
+        self.codes = [_text_codes(t, by_char, WordCodes()) for _, t in items]
         flat = np.concatenate([*self.codes, np.zeros(0, dtype=np.uint64)])
         base = np.cumsum([0, *map(len, self.codes)])
         self.vocabulary = np.unique(flat)
@@ -236,7 +239,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             by_word, by_char = index.value
-            store: dict = {}
+            store = WordCodes()
             for batch in batches:
                 for lo in range(0, len(batch), 1000):
                     part = batch.iloc[lo : lo + 1000]
