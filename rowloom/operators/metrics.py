@@ -67,11 +67,20 @@ def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def table_checksum(df: DataFrame, *by: str) -> DataFrame:
-    """Checksum per group that does not depend on row order: the digest of the sorted row digests."""
+    """Checksum per group that does not depend on row order: the digest of the sorted row digests.
+
+    A group is one small table, as the definition needs all its row digests (5 characters each) at once; for a large table
+    use `large_checksum`.
+    """
     row = F.substring(F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns])), 1, 5)
     return df.select(*by, row.alias("d")).groupBy(*by).agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list("d")))).alias("checksum"))
 
 
+def large_checksum(df: DataFrame) -> DataFrame:
+    """Checksum of a table of any size that does not depend on row order: sums of row hashes, combined before the shuffle."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+
+
 def judge_tally(df: DataFrame, winner: Column) -> DataFrame:
     """Wins, ties and win rates in percent of a pairwise comparison; null verdicts count as ties."""
     rows = df.select(F.coalesce(winner, F.lit("tie")).alias("w"))

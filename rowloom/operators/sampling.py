@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import distance
 from rowloom.operators.order import with_position
+from rowloom.operators.skew import join_lookup
 from rowloom.session import durable
 
 
@@ -31,9 +32,14 @@ def largest_remainder(sizes: DataFrame, want: int) -> DataFrame:
 
 
 def pick_by_bucket(rows: DataFrame, takes: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """The rows picked from each bucket: the first `take` in hash order of their key."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(hash_order(key, seed=seed), key))
-    return rows.withColumn("_r", rank).join(F.broadcast(takes.select("bucket", "take")), "bucket").where("_r <= take").drop("_r", "take")
+    """The rows picked from each bucket: the first `take` in hash order of their key.
+
+    Rows get their position in one global order of bucket and hash; their rank is the distance from the bucket's first
+    position. So a bucket of any size is spread over tasks. Buckets missing in `takes` give no row.
+    """
+    placed = with_position(rows, "bucket", hash_order(key, seed=seed), key, name="_at")
+    first = placed.groupBy("bucket").agg(F.min("_at").alias("_first")).join(takes.select("bucket", "take"), "bucket")
+    return join_lookup(placed, first, "bucket").where(F.col("_at") - F.col("_first") < F.col("take")).drop("_at", "_first", "take")
 
 
 def quantile_bins(df: DataFrame, length: str, bins: int = 10) -> DataFrame:

@@ -61,8 +61,8 @@ def timing_stats(s, d):
 
 
 def checksum(s, d):
-    rows = read_table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority")
-    return m.table_checksum(rows, "o_orderstatus")
+    rows = read_table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    return m.table_checksum(rows, "l_orderkey")
 
 
 def judge_wins(s, d):
@@ -202,8 +202,8 @@ ORACLE = {
     "q_weighted_nll": "SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 4) AS nll FROM lineitem GROUP BY 1",
     "q_timing_stats": "SELECT event_type, round(avg(value), 4) AS avg, round(max(value), 4) AS max, round(min(value), 4) AS min, round(median(value), 4) AS median, round(stddev_pop(value), 4) AS std, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "q_table_checksum": """
-        WITH r AS (SELECT o_orderstatus, substring(md5(concat_ws(',', o_orderstatus, CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority)), 1, 5) AS d FROM orders)
-        SELECT o_orderstatus, md5(string_agg(d, ',' ORDER BY d)) AS checksum FROM r GROUP BY 1""",
+        WITH r AS (SELECT l_orderkey, substring(md5(concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_returnflag)), 1, 5) AS d FROM lineitem)
+        SELECT l_orderkey, md5(string_agg(d, ',' ORDER BY d)) AS checksum FROM r GROUP BY 1""",
     "q_pairwise_join_wins": f"""
         WITH r AS (SELECT lower({_STRIP.format('question_id')}) AS q, sample_idx % 2 AS side, sample_idx, length(output) AS len FROM dataset_item WHERE question_id IS NOT NULL),
         l AS (SELECT q, side, len FROM r WHERE len IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q, side ORDER BY sample_idx DESC) = 1),
