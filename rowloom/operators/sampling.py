@@ -47,8 +47,8 @@ def quantile_bins(df: DataFrame, length: str, bins: int = 10) -> DataFrame:
     at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     edges = df.agg(F.percentile(F.log1p(F.col(length)), at).alias("e"))
     rising = F.aggregate("e", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.greatest(x, F.try_element_at(acc, F.lit(-1)) + 1e-6)))))
-    inner = edges.select(F.slice(rising, 2, bins - 1).alias("inner"))  # one row
-    return df.crossJoin(F.broadcast(inner)).withColumn("bin", F.size(F.filter("inner", lambda x: x < F.log1p(F.col(length))))).drop("inner")
+    inner = edges.select(F.slice(rising, 2, bins - 1)).scalar()  # a subquery that runs once
+    return df.withColumn("inner", inner).withColumn("bin", F.size(F.filter("inner", lambda x: x < F.log1p(F.col(length))))).drop("inner")
 
 
 def user_counts(df: DataFrame, user: str = "user_id") -> DataFrame:

@@ -27,12 +27,9 @@ def heavy_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
     An empty table gives no row.
     """
     counts = key_counts(df, key)
-    total = counts.agg(F.sum("n_rows").alias("n_all"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row by construction
-        # a hair less than the product, which as a double can come out above a whole number
-        .where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share * (1 - 1e-12)) * F.col("n_all")))
-    )
+    total = counts.agg(F.sum("n_rows")).scalar()  # a subquery that runs once
+    # a hair less than the product, which as a double can come out above a whole number
+    return counts.withColumn("n_all", total).where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share * (1 - 1e-12)) * F.col("n_all")))
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, share: float = 0.01) -> DataFrame:
