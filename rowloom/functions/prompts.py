@@ -11,6 +11,12 @@ from rowloom.functions.text import non_blank
 RETRIEVAL_KS = (1, 2, 4, 8, 12, 16, 32)
 PROFILE_HEADING, HISTORY_HEADING, STATISTICS_HEADING = "## User Profile:\n", "## User History:\n", "\n\n## User History Statistics:\n"
 
+#: The wording of problems by format.
+QUESTION, OPTIONS = "Question:", "\nOptions:\n"
+ASK_LETTER = "\nPlease provide the answer to this question directly (a single letter):"
+ASK_TRUTH = "\nPlease provide the answer to this question directly (True or False):"
+ASK_ANSWER = "\nPlease provide the answer to this question:"
+
 
 def profile_section(kind: str, profile: Column, history: Column, statistics: Column | None = None, retrieved: dict[int, Column] | None = None, k: int | None = None) -> Column:
     """The profile shown to a model: `profile`, `history` or `mix` of both under headings; `k` takes what was retrieved instead of the history.
@@ -49,9 +55,12 @@ def last_said(turns: Column, role: str = "user") -> Column:
 def problem_prompt(question: Column, kind: Column, choices: Column) -> Column:
     """A problem's prompt by its format: multiple choice lists its options (a map from letter to text), others ask for an answer."""
     options = F.array_join(F.transform(F.array_sort(F.map_entries(choices)), lambda e: F.concat(F.lit("("), e["key"], F.lit(")"), e["value"])), "\n")
-    return F.when(kind == "Multiple-choice", F.concat(F.lit("Question:"), question, F.lit("\nOptions:\n"), options, F.lit("\nPlease provide the answer to this question directly (a single letter):"))).when(
-        kind == "Assertion", F.concat(F.lit("Question:"), question, F.lit("\nPlease provide the answer to this question directly (True or False):"))
-    ).otherwise(F.concat(F.lit("Question:"), question, F.lit("\nPlease provide the answer to this question:")))
+    asked = F.concat(F.lit(QUESTION), question)
+    return (
+        F.when(kind == "Multiple-choice", F.concat(asked, F.lit(OPTIONS), options, F.lit(ASK_LETTER)))
+        .when(kind == "Assertion", F.concat(asked, F.lit(ASK_TRUTH)))
+        .otherwise(F.concat(asked, F.lit(ASK_ANSWER)))
+    )
 
 
 def strip_chat_marks(text: Column) -> Column:
