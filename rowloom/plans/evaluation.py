@@ -206,8 +206,8 @@ ORACLE = {
         SELECT l_orderkey, md5(string_agg(d, ',' ORDER BY d)) AS checksum FROM r GROUP BY 1""",
     "q_pairwise_join_wins": f"""
         WITH r AS (SELECT lower({_STRIP.format('question_id')}) AS q, sample_idx % 2 AS side, sample_idx, length(output) AS len FROM dataset_item WHERE question_id IS NOT NULL),
-        l AS (SELECT q, side, len FROM r WHERE len IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q, side ORDER BY sample_idx DESC) = 1),
-        sides AS (SELECT DISTINCT q, side FROM r), a AS (SELECT q, len AS a FROM sides LEFT JOIN l USING (q, side) WHERE side = 0), b AS (SELECT q, len AS b FROM sides LEFT JOIN l USING (q, side) WHERE side = 1),
+        l AS (SELECT q, side, len FROM r QUALIFY row_number() OVER (PARTITION BY q, side ORDER BY sample_idx DESC) = 1),
+        a AS (SELECT q, len AS a FROM l WHERE side = 0), b AS (SELECT q, len AS b FROM l WHERE side = 1),
         w AS (SELECT CASE WHEN a > b THEN 'a' WHEN b > a THEN 'b' ELSE 'tie' END AS w FROM a JOIN b USING (q)),
         t AS (SELECT count(*) FILTER (w = 'a') AS wa, count(*) FILTER (w = 'b') AS wb, count(*) AS n FROM w)
         SELECT wa AS wins_a, wb AS wins_b, n - wa - wb AS ties, round(100.0 * wa / greatest(1, n), 4) AS rate_a, round(100.0 * wb / greatest(1, n), 4) AS rate_b, round(100.0 * wa / greatest(1, wa + wb), 4) AS rate_a_decided, round(100.0 * wb / greatest(1, wa + wb), 4) AS rate_b_decided FROM t""",
