@@ -84,12 +84,13 @@ def _codes(found: list[str], store: dict) -> np.ndarray:
 
 
 def _bags(texts: list[np.ndarray]) -> np.ndarray:
-    """Words of each text counted in BUCKETS buckets (at most 255 each, which only loosens the bound)."""
+    """Words of each text counted in BUCKETS buckets; numbers below 1 are words the index lacks and count nowhere."""
     sizes = [len(t) for t in texts]
     flat = np.concatenate([*texts, np.zeros(0, dtype=np.int64)])
     cell = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + (flat * 0x2545F491 >> 7) % BUCKETS
-    counts = np.bincount(cell, minlength=len(texts) * BUCKETS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(texts), BUCKETS)
+    counts = np.bincount(cell[flat > 0], minlength=len(texts) * BUCKETS)
+    # counts are held whole: cut ones would no longer bound the shared words from above
+    return counts.astype(np.uint16 if counts.max(initial=0) < 2**16 else np.uint32).reshape(len(texts), BUCKETS)
 
 
 def _near(a: np.ndarray, cut_a: int, b: np.ndarray, cut_b: int, n_a: int, n_b: int) -> bool:
@@ -160,15 +161,13 @@ def search_texts(index: dict[str, np.ndarray], codes: list[np.ndarray], cuts: li
     n, m = sizes[pairs[0]], index["sizes"][pairs[1]]
     pairs = pairs[:, np.minimum(n, m) >= NEAR * np.maximum(n, m) - 1e-9]
     # the words that two texts have in common, in any order, bound those in the same order
-    bags = _bags([np.maximum(q, 0) for q in queries])
-    bags[np.arange(len(queries)), 0] = 255  # unknown words are number 0, bucket 0
-    unknown = np.array([int((q <= 0).sum()) for q in queries], dtype=np.int64)
+    bags = _bags(queries)
     kept = []
     for lo in range(0, pairs.shape[1], 20_000):
         a, b = pairs[:, lo : lo + 20_000]
         shared = np.minimum(bags[a], index["bags"][b]).sum(axis=1, dtype=np.int64)
         longest = np.maximum(sizes[a], index["sizes"][b])
-        kept.append((shared >= NEAR * longest - 1e-9) & (sizes[a] - unknown[a] >= NEAR * longest - 1e-9) | (sizes[a] >= 60_000))
+        kept.append(shared >= NEAR * longest - 1e-9)
     pairs = pairs[:, np.concatenate(kept)] if kept else pairs
     seen = {(a, b) for a, b in pairs.T.tolist()}
     for a in np.flatnonzero(frequent >= 0.5 * np.maximum(sizes, 1)).tolist():

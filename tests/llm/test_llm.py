@@ -181,6 +181,18 @@ def test_overlap_matches_brute_force(spark):
     assert overlap.overlapping_pairs(df.where("split = 'train'")).count() == 0
 
 
+def test_long_and_repetitive_texts_pass_the_bound():
+    rng = np.random.default_rng(5)
+    zipf = (rng.zipf(1.3, 30_000) % 4_000 + 1).astype(np.int64)
+    assert overlap._bags([zipf]).sum(dtype=np.int64) == 30_000  # a text shares all its words with itself
+    once = np.where(np.arange(400) % 10 == 3, np.arange(400) + 10, 7)  # mostly one word
+    index = fmindex.build([once])
+    index["cuts"], index["bags"] = np.array([400]), overlap._bags([index["symbols"][1:401]])
+    changed = once.copy()
+    changed[200:205] = 999_999
+    assert list(overlap.search_texts(index, [changed], [400])) == [(0, 0)]
+
+
 # tokens
 
 
