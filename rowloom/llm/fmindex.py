@@ -149,27 +149,137 @@ def shared_spans(index: dict[str, np.ndarray], queries: list[np.ndarray]) -> tup
     return (np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)), frequent
 
 
-def all_sharing(index: dict[str, np.ndarray], query: np.ndarray) -> np.ndarray:
-    """Every text that may be near-same to the query, though their shared spans are all frequent: counted over all places.
+def least_shared(n: np.ndarray, near: float) -> np.ndarray:
+    """Words that must stand in the same order in both of two texts whose longer one has n words."""
+    return np.ceil(near * np.asarray(n) - 1e-9).astype(np.int64)
 
-    A run of q words starts at each place that is not changed; a fifth of the longer text's words changed one by one
-    destroys at most q runs each. Texts with at least as many shared runs as then remain are given.
+
+def lost_spans(n: np.ndarray, m: np.ndarray, width: int, near: float) -> np.ndarray:
+    """How many of the spans of `width` words (1 or 2) of a text of n words a near-same text of m words can lack at most.
+
+    A word left out is in `width` spans; a word put in parts one span of two words and none of one.
     """
-    n, total = len(query), np.int64(len(index["symbols"]))
-    q = int(least_run(n))
-    count = np.zeros(len(index["sizes"]), dtype=np.int64)
-    known = query > 0
-    for e in range(q - 1, n):
-        if not known[e - q + 1 : e + 1].all():
+    t = least_shared(np.maximum(n, m), near)
+    return width * (n - t) + (width - 1) * (m - t)
+
+
+def most_lost(n: np.ndarray, width: int, near: float) -> np.ndarray:
+    """The most of lost_spans over the sizes that a near-same text can have: it falls with m from n on, but for rounding."""
+    n = np.asarray(n, dtype=np.int64)
+    over = [np.where(least_shared(n + k, near) <= n, lost_spans(n, n + k, width, near), 0) for k in range(int(np.ceil(1 / (1 - near))) + 1)]
+    return np.max(over, axis=0)
+
+
+def ready(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The index with the texts of each interval listed by the size of their first and of their second part (parted at `cuts`)."""
+    n = max(1, len(index["sizes"]))
+    if "group" not in index:
+        order, symbols = index["order"], index["symbols"]
+        one, two = symbols[order], np.r_[symbols[1:], 0][order]
+        index["group"] = np.r_[0, np.cumsum((one[1:] != one[:-1]) | (two[1:] != two[:-1]))].astype(np.int32)
+        text = np.maximum(np.searchsorted(index["start"], order, side="right") - 1, 0)
+        for p, sizes in enumerate((index["cuts"], index["sizes"] - index["cuts"])):
+            rank = np.empty(n, dtype=np.int64)
+            rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
+            key = index["group"] * np.int64(n) + rank[text]
+            key.sort()
+            index[f"rank{p}"] = (key % n).astype(np.int32)
+    if "key0" not in index:
+        index["heads"] = np.searchsorted(index["steps"], np.arange(len(index["vocabulary"]) + 2) * np.int64(len(index["symbols"])))
+        for p, sizes in enumerate((index["cuts"], index["sizes"] - index["cuts"])):
+            index[f"key{p}"] = index["group"] * np.int64(n) + index[f"rank{p}"]
+            index[f"texts{p}"] = np.argsort(sizes, kind="stable")
+            index[f"sorted{p}"] = np.sort(sizes)
+    return index
+
+
+def partners(index: dict[str, np.ndarray], queries: list[np.ndarray], cuts: list[int], near: float) -> np.ndarray:
+    """(query, text) pairs, one per column, among which are all whose parts are both near-same.
+
+    Each text has two parts (question and answer, parted at its cut), which share no word numbers. Backward search gives the
+    interval of each one- and two-word span of the queries. If two parts are near-same, at most `lost_spans` of the spans of
+    one are missing in the other, whatever words are left out, put in or changed. So of the spans of one part the
+    rarest are listed, more than can be lost, and texts that hold too few of them are dropped. Which part and which width
+    is listed is chosen per query by the number of places; no interval is too frequent to be listed.
+    """
+    steps, n_texts = index["steps"], np.int64(max(1, len(index["sizes"])))
+    total = np.int64(len(index["symbols"]))
+    sizes = np.array([len(q) for q in queries], dtype=np.int64)
+    flat = np.concatenate([*queries, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    if not len(flat) or not len(index["sizes"]):
+        return np.zeros((2, 0), dtype=np.int64)
+    base = np.r_[0, np.cumsum(sizes)]
+    owner = np.repeat(np.arange(len(queries)), sizes)
+    cut = np.array(cuts, dtype=np.int64)
+    segment = 2 * owner + (np.arange(len(flat)) - base[owner] >= cut[owner])
+    n = np.stack([cut, sizes - cut], axis=1).ravel()
+    known = flat > 0
+    lo1 = np.where(known, index["heads"][np.maximum(flat, 0)], 0)
+    hi1 = np.where(known, index["heads"][np.maximum(flat, 0) + 1], 0)
+    head = np.flatnonzero(segment[:-1] == segment[1:])  # where a two-word span begins
+    lo2, hi2 = np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
+    both = np.flatnonzero(known[head] & known[head + 1])
+    key = flat[head[both]] * total
+    got = _seek(steps, np.concatenate([key + lo1[head[both] + 1], key + hi1[head[both] + 1]]))
+    lo2[both], hi2[both] = got[: len(both)], got[len(both) :]
+    options = []
+    for width, seg, lo, hi in ((1, segment, lo1, hi1), (2, segment[head], lo2, hi2)):
+        lost = most_lost(n, width, near)
+        cost = hi - lo
+        order = np.lexsort((cost, seg))
+        seg, lo, hi, cost = seg[order], lo[order], hi[order], cost[order]
+        have = np.bincount(seg, minlength=len(n))
+        place = np.arange(len(seg)) - (np.cumsum(have) - have)[seg]
+        least = np.bincount(seg, weights=np.where(place <= lost[seg], cost, 0), minlength=len(n))
+        options.append((seg, lo, hi, cost, have, place, lost, np.where(have > lost, least, np.inf)))
+    price = np.stack([o[-1] for o in options], axis=1).reshape(len(queries), 4)  # first part by one and two words, second part
+    best = price.argmin(axis=1)
+    out = []
+    for choice in range(4):
+        part, width = divmod(choice, 2)  # width 1 is two words
+        mine = (best == choice) & np.isfinite(price.min(axis=1))
+        if not mine.any():
             continue
-        lo, hi = 0, int(total)
-        for k in range(q):
-            key = query[e - k] * total
-            lo, hi = np.searchsorted(index["steps"], [key + lo, key + hi])
-            if lo >= hi:
-                break
-        if lo < hi:
-            text = np.searchsorted(index["start"], index["order"][lo:hi], side="right") - 1
-            count[np.unique(text)] += 1
-    longest = np.maximum(index["sizes"], n)
-    return np.flatnonzero((count >= np.maximum(1, n - q + 1 - q * (longest // 5))) & (count > 0))
+        seg, lo, hi, cost, have, place, lost, least = options[width]
+        begin = np.cumsum(have) - have
+        # more spans than needed, as long as the places about double: texts must then hold several
+        running = np.cumsum(cost)
+        within = running - np.where(begin > 0, running[np.maximum(begin, 1) - 1], 0)[seg]
+        pick = (place <= lost[seg]) | (within <= 2 * np.where(np.isfinite(least), least, 0)[seg] + 64)
+        pick &= mine[seg // 2] & (seg % 2 == part)
+        chosen = np.bincount(seg[pick], minlength=len(n))
+        pick &= cost > 0
+        seg, lo, hi = seg[pick], lo[pick], hi[pick]
+        ordered = index[f"sorted{part}"]
+        low = np.searchsorted(ordered, least_shared(n, near), side="left")
+        high = np.searchsorted(ordered, np.floor(n / near + 1e-9).astype(np.int64), side="right")
+        if width:  # texts lie by size within the interval of two words
+            group = index["group"][lo] * n_texts
+            lo, hi = _seek(index[f"key{part}"], group + low[seg]), _seek(index[f"key{part}"], group + high[seg])
+        ranks, texts = index[f"rank{part}"], index[f"texts{part}"]
+        edges = np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="left"), np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="right")
+        lo, hi = lo.tolist(), hi.tolist()
+        for a in np.flatnonzero(mine).tolist():
+            i, j = int(edges[0][a]), int(edges[1][a])
+            if i == j:
+                continue
+            s = 2 * a + part
+            listed = np.concatenate([ranks[x:y] for x, y in zip(lo[i:j], hi[i:j])])
+            if not len(listed):
+                continue
+            if width:
+                count = np.bincount(listed - low[s])
+            else:
+                count = np.bincount(listed, minlength=high[s])[low[s] : high[s]]
+            near_by = np.flatnonzero(count >= chosen[s] - lost[s])
+            if not len(near_by):
+                continue
+            found = texts[near_by + low[s]]
+            m = index["cuts"][found] if part == 0 else index["sizes"][found] - index["cuts"][found]
+            held = count[near_by] >= chosen[s] - lost_spans(n[s], m, width + 1, near)
+            other = index["sizes"][found] - m
+            k = n[s ^ 1]
+            held &= np.minimum(k, other) >= near * np.maximum(k, other) - 1e-9
+            found = found[held]
+            out.append(np.stack([np.full(len(found), a), found]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)

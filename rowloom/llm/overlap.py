@@ -71,7 +71,8 @@ def _words(text: str) -> tuple[list[str], int]:
     return (a + (answer.split(" ") if answer else []), len(a)) if tab else (a, len(a))
 
 
-def _codes(found: list[str], store: dict) -> np.ndarray:
+def _codes(found: list[str], store: dict, cut: int | None = None) -> np.ndarray:
+    """Word codes; those behind the cut (of the answer) are never those before it."""
     out = []
     for w in found:
         c = store.get(w)
@@ -80,7 +81,10 @@ def _codes(found: list[str], store: dict) -> np.ndarray:
                 store.clear()
             c = store[w] = word_code(w)
         out.append(c)
-    return np.array(out, dtype=np.int64)
+    codes = np.array(out, dtype=np.int64)
+    if cut is not None:
+        codes[cut:] += 1 << 60
+    return codes
 
 
 def _bags(texts: list[np.ndarray]) -> np.ndarray:
@@ -138,9 +142,11 @@ def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFram
         pdf = pdf.sort_values("h", kind="stable")
         store: dict = {}
         cut = [_words(t) for t in pdf["text"]]
-        index = fmindex.build([_codes(w, store) for w, _ in cut])
+        index = fmindex.build([_codes(w, store, c) for w, c in cut])
         index["cuts"] = np.array([c for _, c in cut], dtype=np.int64)
         index["bags"] = _bags([index["symbols"][a : a + m] for a, m in zip(index["start"], index["sizes"])])
+        fmindex.ready(index)
+        index = {k: index[k] for k in ("vocabulary", "symbols", "steps", "start", "sizes", "cuts", "bags", "group", "rank0", "rank1")}
         index["h"] = np.array(pdf["h"].tolist(), dtype="U32")
         kind, shard = pdf["kind"].iloc[0], int(pdf["shard"].iloc[0])
         _write(uri, f"{kind}-{shard}.npz", index)
@@ -151,31 +157,20 @@ def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFram
 
 def search_texts(index: dict[str, np.ndarray], codes: list[np.ndarray], cuts: list[int]) -> Iterator[tuple[int, int]]:
     """(query, text) pairs that are nearly the same, from the spans they share."""
+    fmindex.ready(index)
     queries = [fmindex.number(index, c) for c in codes]
-    spans, frequent = fmindex.shared_spans(index, queries)
-    sizes = np.array([len(q) for q in queries], dtype=np.int64)
-    # spans are merged per pair; texts of too different length can't be near-same
-    n_texts = max(1, len(index["sizes"]))
-    joined = np.sort(spans[0] * n_texts + spans[1])
-    pairs = np.stack(np.divmod(joined[np.r_[True, joined[1:] != joined[:-1]]] if len(joined) else joined, n_texts))
-    n, m = sizes[pairs[0]], index["sizes"][pairs[1]]
-    pairs = pairs[:, np.minimum(n, m) >= NEAR * np.maximum(n, m) - 1e-9]
+    pairs = fmindex.partners(index, queries, cuts, NEAR)
+    sizes, cut = np.array([len(q) for q in queries], dtype=np.int64), np.array(cuts, dtype=np.int64)
     # the words that two texts have in common, in any order, bound those in the same order
     bags = _bags(queries)
     kept = []
     for lo in range(0, pairs.shape[1], 20_000):
         a, b = pairs[:, lo : lo + 20_000]
         shared = np.minimum(bags[a], index["bags"][b]).sum(axis=1, dtype=np.int64)
-        longest = np.maximum(sizes[a], index["sizes"][b])
-        kept.append(shared >= NEAR * longest - 1e-9)
+        first, second = np.maximum(cut[a], index["cuts"][b]), np.maximum(sizes[a] - cut[a], index["sizes"][b] - index["cuts"][b])
+        kept.append(shared >= fmindex.least_shared(first, NEAR) + fmindex.least_shared(second, NEAR))
     pairs = pairs[:, np.concatenate(kept)] if kept else pairs
-    seen = {(a, b) for a, b in pairs.T.tolist()}
-    for a in np.flatnonzero(frequent >= 0.5 * np.maximum(sizes, 1)).tolist():
-        more = fmindex.all_sharing(index, queries[a])
-        m = index["sizes"][more]
-        more = more[np.minimum(m, sizes[a]) >= NEAR * np.maximum(m, sizes[a]) - 1e-9]
-        seen.update((a, b) for b in more.tolist())
-    for a, b in sorted(seen):
+    for a, b in sorted(pairs.T.tolist()):
         at, m = int(index["start"][b]), int(index["sizes"][b])
         if _near(queries[a], cuts[a], index["symbols"][at : at + m], int(index["cuts"][b]), len(queries[a]), m):
             yield a, b
@@ -203,7 +198,7 @@ def near_classes(units_: DataFrame) -> DataFrame:
             for kind, part in batch.groupby("kind", sort=True):
                 hs = part["h"].tolist()
                 cut = [_words(t) for t in part["text"]]
-                codes = [_codes(w, store) for w, _ in cut]
+                codes = [_codes(w, store, c) for w, c in cut]
                 cuts = [c for _, c in cut]
                 for shard in range(shards[kind]):
                     name = f"{kind}-{shard}.npz"

@@ -193,6 +193,34 @@ def test_long_and_repetitive_texts_pass_the_bound():
     assert list(overlap.search_texts(index, [changed], [400])) == [(0, 0)]
 
 
+def found_pairs(held, training):
+    """search_texts over (question, answer) pairs of number lists; the answer's numbers are shifted as word codes are."""
+    text = lambda qa: np.array([*qa[0], *(x + (1 << 40) for x in qa[1])], dtype=np.int64)
+    index = fmindex.build([text(x) for x in held])
+    index["cuts"] = np.array([len(x[0]) for x in held])
+    index["bags"] = overlap._bags([index["symbols"][a : a + m] for a, m in zip(index["start"], index["sizes"])])
+    return set(overlap.search_texts(index, [text(x) for x in training], [len(x[0]) for x in training]))
+
+
+def near_pairs(held, training):
+    same = lambda x, y: words.lcs_length(list(x), list(y)) >= 0.8 * max(len(x), len(y)) - 1e-9
+    return {(a, b) for a, x in enumerate(training) for b, y in enumerate(held) if same(x[0], y[0]) and same(x[1], y[1])}
+
+
+def test_near_texts_whose_runs_are_all_frequent():
+    rng = random.Random(7)
+    instruction = list(range(1, 41))
+    body = [rng.randrange(100, 160) for _ in range(60)]
+    held = [(instruction + body, [1])] + [(instruction + [rng.randrange(100, 160) for _ in range(60)], [1]) for _ in range(60)]
+    changed = [w if k % 3 else 900 + k for k, w in enumerate(body)]
+    assert found_pairs(held, [(instruction + changed, [1])]) == near_pairs(held, [(instruction + changed, [1])]) == {(0, 0)}
+    # 25 words with runs of 4, 4, 3, 3, 3, 3, of which the two long ones stand in many texts
+    text = list(range(200, 225))
+    runs = [k for k in range(25) if k not in (4, 9, 13, 17, 21)]
+    held = [(text, [2])] + [(text[:4] + [1000 + 30 * i + k for k in range(17)] + text[5:9], [2]) for i in range(60)]
+    assert (0, 0) in found_pairs(held, [([w if k in runs else 5000 + k for k, w in enumerate(text)], [2])])
+
+
 # tokens
 
 
