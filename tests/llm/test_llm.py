@@ -221,6 +221,31 @@ def test_near_texts_whose_runs_are_all_frequent():
     assert (0, 0) in found_pairs(held, [([w if k in runs else 5000 + k for k, w in enumerate(text)], [2])])
 
 
+def test_near_texts_with_words_put_in_and_left_out():
+    rng = random.Random(11)
+    text = list(range(1, 41))
+    mine, other = [w if k % 5 != 2 else 700 + k for k, w in enumerate(text)], []
+    for k, w in enumerate(w for i, w in enumerate(text) if i % 5 != 2):  # 32 common words, both with 8 of their own in turns
+        other += [w, 800 + k] if k % 4 == 0 else [w]
+    assert words.lcs_length(mine, other) == 32 and len(mine) == len(other) == 40
+    assert found_pairs([(mine, [1])], [(other, [1])]) == {(0, 0)}
+
+    def edited(t):
+        t, n = list(t), len(t) // 5
+        for _ in range(rng.randint(0, n)):
+            del t[rng.randrange(len(t))]
+        for _ in range(rng.randint(0, n)):
+            t.insert(rng.randint(0, len(t)), rng.randint(1, 30))
+        return t
+
+    # few words, so that most spans are frequent
+    base = [([rng.randint(1, 12) for _ in range(rng.randint(0, 40))], [rng.randint(1, 12) for _ in range(rng.randint(1, 25))]) for _ in range(25)]
+    held = [(edited(a), edited(b)) for a, b in base for _ in range(8)]
+    training = [(edited(a), edited(b)) for a, b in base for _ in range(8)]
+    expected = near_pairs(held, training)
+    assert len(expected) > 300 and found_pairs(held, training) == expected
+
+
 # tokens
 
 
