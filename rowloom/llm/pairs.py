@@ -48,6 +48,9 @@ REFUSALS = {
 }
 #: Sentences that may stand beside a refusal.
 CLOSINGS = ["is there anything else i can do for you", "please consult a professional", "try asking about something different", "gibt es sonst noch etwas", "puis je faire autre chose", "hay algo más", "还有其他需要帮助的吗", "他に何かお手伝いできますか", "please ask me something else", "let me know if you need anything else"]
+#: How a sentence behind a refusal begins that gives an answer after all, and words that may stand before it.
+ANSWERING = ["here is", "here's", "here are", "the answer is", "hier ist", "hier sind", "die antwort ist", "die antwort lautet", "voici", "la réponse est", "aquí está", "aquí tienes", "aquí están", "la respuesta es", "以下是", "答案是", "以下は", "答えは"]
+TURNING = ["but", "however", "that said", "still", "instead", "aber", "trotzdem", "mais", "cependant", "pero", "sin embargo", "但", "不过", "ただし"]
 #: Names of languages in prompts that ask for an answer in one.
 LANGUAGE_NAMES = {
     "en": "english|englisch\\w*|anglais\\w*|inglés|英语|英文|英語",
@@ -73,6 +76,8 @@ def _template_units() -> list[list[str]]:
 _TEMPLATES = _template_units()
 _OPENINGS = sorted((units(o) for many in OPENINGS.values() for o in many), key=len, reverse=True)
 _CLOSINGS = [units(c) for c in CLOSINGS]
+_ANSWERING = [units(a) for a in ANSWERING]
+_TURNING = [units(t) for t in TURNING]
 _BY_WORD: dict[str, list[int]] = {}
 for _i, _t in enumerate(_TEMPLATES):
     for _w in set(_t):
@@ -95,12 +100,22 @@ def _refusing(a: list[str]) -> bool:
     return any(n >= REFUSED * len(set(_TEMPLATES[i])) - 1 and _aligned(a, _TEMPLATES[i]) for i, n in shared.items())
 
 
+def _answers(found: list[str]) -> bool:
+    """Whether a sentence announces an answer."""
+    turn = next((t for t in _TURNING if found[: len(t)] == t), [])
+    rest = found[len(turn) :]
+    return any(rest[: len(a)] == a for a in _ANSWERING)
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether the answer's sentences align with a refusal, beside openings and closings nothing but little else."""
+    """Whether the answer declines: a sentence aligns with a refusal template, and no answer stands beside it.
+
+    With at most a few words before the refusal, what follows explains it, repeats it or offers something else, however long,
+    unless a sentence announces an answer. Otherwise the refusing words must be the greater part.
+    """
     text = answer.translate(_APOSTROPHE)
-    if len(text) > 400:
-        return False
-    refused, other = False, 0
+    refused, other, ahead = 0, 0, 0
+    answered = False
     tail: list[str] = []
     for part in _SENTENCE.findall(text):
         found = units(part)
@@ -116,7 +131,8 @@ def is_refusal(answer: str) -> bool:
                     break
                 rest = rest[len(opening) :]
             if rest and (_refusing(rest) or rest is not candidate and _refusing(candidate)):
-                refused = True
+                ahead = ahead if refused else other
+                refused += len(candidate)
                 break
             if not rest:
                 tail = candidate  # only an opening: it goes with the next part
@@ -124,7 +140,8 @@ def is_refusal(answer: str) -> bool:
         else:
             if not any(_aligned(found, c) for c in _CLOSINGS):
                 other += len(found)
-    return refused and other <= 6
+                answered = answered or refused > 0 and _answers(found)
+    return refused > 0 and (other <= max(6, refused) or ahead <= 6 and not answered)
 
 
 def prompt_bodies(prompt: str) -> list[str]:

@@ -116,6 +116,16 @@ def test_defects(prompt, answer, kind):
     assert pairs.defect(prompt, answer, True) == kind
 
 
+def test_refusals_of_any_length():
+    why = "Questions of this kind touch on the private life of other people, and what is known about them comes from sources that nobody can verify. "
+    offer = "A librarian, a local archive or the people concerned may tell more about it than a text written by a machine ever could. "
+    for lead in ("I'm sorry, but I can’t help with that request. ", "Leider kann ich dabei nicht helfen. "):
+        assert pairs.is_refusal(lead + why + offer * 3) and len(why + offer * 3) > 400
+    assert pairs.is_refusal("I can't help with that request. " * 20) and pairs.is_refusal("I can't help with that request. " + why)
+    assert not pairs.is_refusal("I can't help with that request. However, here is what the village says: " + why + offer * 3)
+    assert not pairs.is_refusal(why + offer * 3 + "I can't help with that request.") and not pairs.is_refusal("I must decline a second slice every time. " + why + offer * 3)
+
+
 def test_prose_sources_and_edges(spark):
     whole = [(None, None, "train", None, LONG, "We left at noon.")] * 3 + [(None, None, "train", None, None, "We left at")] + [(None, None, None, None, LONG, None)]
     assert rows(pairs.broken_pairs(items(spark, *whole))) == [(3, "truncated"), (4, "empty")]
