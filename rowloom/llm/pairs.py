@@ -64,6 +64,7 @@ LANGUAGE_NAMES = {
 _SENTENCE = re.compile(r"[^.!?。！？;:；：\n]+[.!?。！？;:；：]*")
 _ASKED = {k: re.compile(rf"(?:\b(?:in|into|to|auf|ins|en|au|al|a)\s+(?:the\s+)?(?:{v})\b)|(?:(?:用|翻译成|译成|翻譯成)\s*(?:{v}))|(?:(?:{v})\s*(?:で|に|语回答|回答))", re.I) for k, v in LANGUAGE_NAMES.items()}
 _TURN = re.compile(r"^(?:User|Human|Assistant)\s*:\s*", re.M)
+_BODY = re.compile(r"[:：?？]\s+|\]\s+|\n")
 _APOSTROPHE = str.maketrans({"’": "'", "‘": "'", "`": "'"})
 _CLOSE = "\"'”’»«“)]}）】」』》〉›…"
 _END = ".!?。！？।؟…"
@@ -144,40 +145,75 @@ def is_refusal(answer: str) -> bool:
     return refused > 0 and (other <= max(6, refused) or ahead <= 6 and not answered)
 
 
-def prompt_bodies(prompt: str) -> list[str]:
-    """What an answer may copy: the prompt, its last user turn, and its text after an instruction's colon or line."""
-    bodies = [prompt]
+def prompt_bodies(prompt: str) -> list[tuple[list[str], list[int]]]:
+    """What an answer may copy: the words of the prompt, of its last user turn and of its turns without their names, each
+    with the places at which its text after a colon, question mark, bracket or line begins (0, the whole, first)."""
+    texts = [prompt]
     turns = [t for t in _TURN.split(prompt) if t.strip()]
-    if len(turns) >= 1 and _TURN.search(prompt):
-        bodies += [turns[-1], "\n".join(turns)]
-    for base in list(bodies[:2]):
-        for m in list(re.finditer(r"[:：?？]\s+|\]\s+|\n", base))[:12]:
-            bodies.append(base[m.end() :])
+    if turns and _TURN.search(prompt):
+        texts += [turns[-1], "\n".join(turns)]
+    bodies = []
+    for text in texts:
+        found: list[str] = []
+        starts = [0]
+        for piece in _BODY.split(strip_markup(text)):
+            if found and starts[-1] != len(found):
+                starts.append(len(found))
+            found += units(piece)
+        bodies.append((found, [s for s in starts if s < len(found)]))
     return bodies
 
 
+def suffix_lcs(a: list[str], b: list[str], starts: list[int]) -> list[int]:
+    """Length of the longest common subsequence of a with b from each start on: one pass from the end, as in lcs_length."""
+    place: dict = {}
+    for i, x in enumerate(reversed(a)):
+        place[x] = place.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    want = set(starts)
+    at = {}
+    for j in range(len(b) - 1, -1, -1):
+        match = place.get(b[j])
+        if match is not None:
+            hit = row & match
+            row = ((row + hit) | (row - hit)) & full
+        if j in want:
+            at[j] = len(a) - row.bit_count()
+    return [at[s] for s in starts]
+
+
+def repeats_short(prompt: str, a: list[str]) -> bool:
+    """Whether a few words are the prompt, its last turn or the text after its instruction, word for word.
+
+    Of such short texts only what stands behind the first separator is the text after the instruction: an option that ends
+    a list in the prompt is an answer.
+    """
+    return any(b and a in (b, b[starts[1] :] if len(starts) > 1 else b) for b, starts in prompt_bodies(prompt))
+
+
 def copies_prompt(prompt: str, answer: str) -> bool:
     """Whether the answer is all or nearly all of the prompt or of its text after the instruction.
 
-    Shingle containment is tested first; then the longest common subsequence must cover COPIED of the longer text.
+    Texts of under five words must be equal. Of others, shingle containment is tested first; then the longest common
+    subsequence must cover COPIED of the longer text, whichever separator of the prompt the text begins behind.
     """
     a = units(strip_markup(answer))
     if len(a) < 5:
-        return False
+        return bool(a) and repeats_short(prompt, a)
     p = units(strip_markup(prompt))
     known = set(zip(p, p[1:], p[2:]))
     shingles = list(zip(a, a[1:], a[2:]))
     if sum(s in known for s in shingles) < CONTAINED * len(shingles):
         return False
-    for body in prompt_bodies(prompt):
-        b = units(strip_markup(body))
-        if len(b) >= 5 and min(len(a), len(b)) >= COPIED * max(len(a), len(b)) and lcs_length(a, b) >= COPIED * max(len(a), len(b)):
-            return True
-    # a few words may be put before the copy
-    for body in prompt_bodies(prompt):
-        b = units(strip_markup(body))
-        if len(b) >= 12 and len(a) - len(b) <= 6 and lcs_length(a, b) >= max(COPIED * len(b), COPIED * (len(a) - 6)) and len(a) >= COPIED * len(b):
-            return True
+    for b, starts in prompt_bodies(prompt):
+        # bodies of fitting length, those with a few words put before the copy included
+        starts = [s for s in starts if len(b) - s >= 4 and len(a) >= COPIED * (len(b) - s) and (len(b) - s >= COPIED * len(a) or len(b) - s >= max(12, len(a) - 6))]
+        if not starts:
+            continue
+        for s, common in zip(starts, suffix_lcs(a, b, starts)):
+            n = len(b) - s
+            if common >= COPIED * max(len(a), n) or n >= 12 and len(a) - n <= 6 and common >= max(COPIED * n, COPIED * (len(a) - 6)):
+                return True
     return False
 
 
@@ -234,8 +270,9 @@ def defect(prompt: str | None, answer: str | None, prose: bool) -> str | None:
     if len(answer) > 15 or not answer.isascii():
         if is_refusal(answer):
             return "refusal"
-        if copies_prompt(prompt, answer):
-            return "copied_input"
+    if copies_prompt(prompt, answer):
+        return "copied_input"
+    if len(answer) > 15 or not answer.isascii():
         if in_other_language(prompt, answer):
             return "other_language"
     # one or two words are a label, rating or option, whatever the source

@@ -126,6 +126,19 @@ def test_refusals_of_any_length():
     assert not pairs.is_refusal(why + offer * 3 + "I can't help with that request.") and not pairs.is_refusal("I must decline a second slice every time. " + why + offer * 3)
 
 
+def test_copies_behind_any_separator_and_of_few_words():
+    prompt = "".join(f"Example {k}: a cabin of the {k}. ferry\n" for k in range(30)) + f"Now it is your turn. Review: {LONG}"
+    assert pairs.copies_prompt(prompt, LONG) and pairs.defect(prompt, LONG.lower(), True) == "copied_input"
+    assert pairs.defect(f"{prompt}\nAssistant:", "Our " + LONG, True) == "copied_input"
+    assert pairs.defect("Where is my bag?", "where is my bag", False) == "copied_input" and pairs.defect("Say it: old red barn", "Old red barn.", False) == "copied_input"
+    assert pairs.defect("User: Hello\nAssistant: Hi\nUser: 你好吗？", "你好吗", False) == "copied_input"
+    assert pairs.defect("Is it good?\nOptions:\nvery bad\nvery good", "very good", False) is None
+    rng = random.Random(2)
+    for _ in range(50):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 30))] for _ in range(2))
+        assert pairs.suffix_lcs(a, b, list(range(len(b)))) == [words.lcs_length(a, b[k:]) for k in range(len(b))]
+
+
 def test_prose_sources_and_edges(spark):
     whole = [(None, None, "train", None, LONG, "We left at noon.")] * 3 + [(None, None, "train", None, None, "We left at")] + [(None, None, None, None, LONG, None)]
     assert rows(pairs.broken_pairs(items(spark, *whole))) == [(3, "truncated"), (4, "empty")]
