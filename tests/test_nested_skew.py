@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import nested, skew
+from rowloom.plans import nested_skew
 
 from .conftest import rows
 
@@ -70,6 +71,15 @@ def test_salted_stats_match_plain(spark):
     assert skew.salted_user_stats(df.where("false")).count() == 0
 
 
+def test_heavy_users_come_from_the_salted_results(spark, tmp_path, monkeypatch):
+    data = [("a ", "q1", "x"), ("A", None, None), ("b", "q", "y")] + [(None, "q", "z")] * 97
+    spark.createDataFrame(data, "user_id string, question_id string, output string").write.parquet(str(tmp_path / "dataset_item.parquet"))
+    used = []
+    whole = skew.salted_user_stats
+    monkeypatch.setattr(skew, "salted_user_stats", lambda *a, **k: used.append(1) or whole(*a, **k))
+    assert rows(nested_skew.p6_found(spark, str(tmp_path))) == [("a",)] and used
+
+
 def test_heavy_keys_at_the_limit(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] + [(None,)] * 97, "k string")
     assert rows(skew.heavy_keys(df, F.col("k"), 0.02)) == [("a", 2, 100)]
