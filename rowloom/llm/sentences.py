@@ -20,8 +20,6 @@ END_MARKS = ".!?…。！？｡．।॥؟۔‼⁇⁈⁉"
 OPENERS = "([{（［｛「『《〈【〔〖“„‟‘‚«‹»›\"¿¡—–-*_•·‣"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "〔": "〕", "〖": "〗", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹"}
 CLOSERS = set(")]}）］｝」』》〉】〕〗”“’»«›‹\"'")
-#: Left types and right words with their own statistics; rarer ones share those of their shape.
-KEPT_TYPES = 50_000
 #: Weight of a shape's share of words in the share of one of its words.
 BACKOFF = 0.01
 #: Log odds of a boundary by what parts the mark from what follows: nothing, blanks, a line break; in scripts without
@@ -411,9 +409,15 @@ def split_sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     # one pass over the texts: their sites and what they add to the statistics
     parsed = durable(rows.mapInPandas(parse, f"what string, k string, n long, e long, key {kind}, packed binary"))
     counts = durable(parsed.where("what <> 'text'").groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
-    kept = {w: {r["k"]: (float(r["n"]), float(r["e"])) for r in counts.where(F.col("what") == w).orderBy(F.desc("n"), "k").limit(KEPT_TYPES).collect()} for w in STATISTICS}
-    first = {w: {k: n for k, (n, _) in kept[w].items()} for w in STATISTICS}
-    model = df.sparkSession.sparkContext.broadcast(BoundaryModel(kept["left"], first["after"], first["inside"], first["pairs"]))
+    # every type counts, in its own statistics and in those of its class and shape: the driver holds the corpus' vocabulary
+    left: dict[str, tuple[float, float]] = {}
+    first: dict[str, dict[str, float]] = {w: {} for w in STATISTICS}
+    for r in counts.orderBy("what", F.desc("n"), "k").toLocalIterator():
+        if r["what"] == "left":
+            left[r["k"]] = (float(r["n"]), float(r["e"]))
+        else:
+            first[r["what"]][r["k"]] = float(r["n"])
+    model = df.sparkSession.sparkContext.broadcast(BoundaryModel(left, first["after"], first["inside"], first["pairs"]))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -367,6 +367,15 @@ def test_sentences(spark):
     assert max(found) < len(data) - 2
 
 
+def test_rare_types_keep_their_statistics(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "KEPT_TYPES", 6, raising=False)  # no number of types may matter
+    rng = random.Random(3)
+    told = [f"{a} {b}." for a in ("The ferry left the", "We stayed in the", "Nobody saw the") for b in ("harbor", "village", "market", "garden", "station", "library", "cabin", "mill")]
+    texts_ = [" ".join([*rng.choices(told, k=3), *(["She saw Qtr. Ames there."] if k % 10 == 0 else []), rng.choice(told)]) for k in range(400)]
+    df = spark.createDataFrame([*enumerate(texts_), (400, "She saw Qtr. Nobody there. The ferry left the mill.")], "doc_id long, text string")
+    assert rows(sentences.split_sentences(df).where("doc_id = 400")) == [(400, 0, 26), (400, 27, 51)]
+
+
 def test_spans_cover_all_letters():
     rng = random.Random(5)
     for _ in range(200):
