@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.session import durable
+
 
 def clean_id(column: Column) -> Column:
     """An id for comparison: lower case without outer white space; null and blank ids become null."""
@@ -32,16 +34,32 @@ def heavy_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
     return counts.withColumn("n_all", total).where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share * (1 - 1e-12)) * F.col("n_all")))
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Inner join of `rows` with `lookup`, which has one row per key, without a task that gets a hot key's rows.
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, share: float = 0.01, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join of `rows` with `lookup`, which has one row per key, without a task that gets a hot key's rows.
+
+    Keys holding at least `share` of the rows are found first (at most 1/share of them) or given as `hot` (`key`); their
+    lookup rows are broadcast and joined where the rows lie. All other rows are shuffled by the key. `how`: inner, left,
+    left_semi or left_anti; null keys join nothing.
+    """
+    hot = heavy_keys(rows, F.col(key), share) if hot is None else hot
+    hot = F.broadcast(hot.select(F.col("key").alias(key)))
+    hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))  # at most 1/share rows: one per hot key
+    cold = rows.join(hot, key, "left_anti").join(lookup, key, how)
+    hot_rows = rows if how in ("inner", "left_semi") else rows.join(hot, key, "left_semi")
+    joined = hot_rows.join(hot_lookup, key, how)
+    return joined.select(cold.columns).unionByName(cold)
+
+
+def join_small(rows: DataFrame, lookup: DataFrame, key: str, limit: int = 10_000) -> DataFrame:
+    """Inner join of `rows` with `lookup`, which has one row per key and is expected to be small.
 
-    Keys holding at least `share` of the rows are found first (at most 1/share of them); their lookup rows are broadcast
-    and joined where the rows lie. All other rows are shuffled by the key. Null keys join nothing.
+    The lookup is written once and counted: up to `limit` rows are broadcast, so `rows` stay where they are; a larger one is
+    joined by `join_lookup`.
     """
-    hot = F.broadcast(heavy_keys(rows, F.col(key), share).select(F.col("key").alias(key)))
-    hot_lookup = lookup.join(hot, key, "left_semi")  # at most 1/share rows: one per hot key
-    cold = rows.join(hot, key, "left_anti").join(lookup, key)
-    return rows.join(F.broadcast(hot_lookup), key).unionByName(cold)
+    lookup = durable(lookup)
+    if lookup.count() <= limit:
+        return rows.join(F.broadcast(lookup), key)
+    return join_lookup(rows, lookup, key)
 
 
 def salted_user_stats(df: DataFrame, key: str = "user_id", question: str = "question_id", answer: str = "output", share: float = 0.005, salts: int = 64) -> DataFrame:
