@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rowloom.llm import leaks, overlap, pairs, privacy, sentences, splits, tokens
 from rowloom.sources.tables import read_table
 
@@ -24,7 +26,7 @@ def _texts(spark, d):
 
 def p1_splits(spark, d):
     """Every record with its group and split."""
-    return splits.assign_splits(_items(spark, d)).withColumnRenamed("record", "sample_idx")
+    return splits.assign_splits(_items(spark, d)).select(F.col("record").alias("sample_idx"), "grp", "split")
 
 
 def p1_report(spark, d):
@@ -34,7 +36,7 @@ def p1_report(spark, d):
 
 
 QUERIES = {
-    "p1_found": lambda s, d: splits.multi_user_groups(_items(s, d)),
+    "p1_found": lambda s, d: splits.multi_user_groups(splits.assign_splits(_items(s, d))),
     "p1_splits": p1_splits,
     "p1_report": p1_report,
     "p2_found": lambda s, d: privacy.find_personal(_texts(s, d)),

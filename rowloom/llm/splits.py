@@ -15,8 +15,10 @@ from rowloom.session import durable
 
 SPLITS = ("train", "validation", "test")
 PROPORTIONS = (0.8, 0.1, 0.1)
-#: Labels beyond the most frequent ones are balanced together.
+#: The most frequent labels are balanced each by itself, all others in as many pools by their hash.
 MAX_LABELS = 64
+#: Share of the edges that makes a node a hub, and edges from which hubs are looked for.
+HUB, FEW_EDGES = 0.01, 100_000
 #: A component holding more than this share of the records is placed before all others; at most 1/HEAVY of them exist.
 HEAVY = 0.0005
 #: Components a task anneals at once.
@@ -36,12 +38,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: neighbours greater than u are linked to the smallest in u's neighbourhood
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.join(low, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
+        large = _with_smallest(both, "least(u, m)").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         # small star: neighbours not greater than u, and u itself, are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v"))
-        edges = durable(small.distinct())
+        near = _with_smallest(durable(large), "m")
+        edges = durable(near.selectExpr("if(v = m, u, v) as u", "m as v").distinct())
         # a star forest does not change any more
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -52,6 +52,21 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.selectExpr("u as node", "v as root").unionByName(edges.selectExpr("v as node", "v as root").distinct())
 
 
+def _with_smallest(edges: DataFrame, smallest: str) -> DataFrame:
+    """Edges (`u`, `v`) with an expression of u and its smallest neighbour (`m`); hubs are joined where their edges lie.
+
+    The minimum per node is combined before the shuffle; hubs are the at most 1/HUB nodes with that share of the edges.
+    """
+    low = durable(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    total = low.agg(F.sum("n")).first()[0] or 0
+    hubs = low.where(F.col("n") >= F.lit(HUB * total))
+    low = low.select("u", F.expr(smallest).alias("m"))
+    # small graphs are not worth the second path
+    if total < FEW_EDGES or hubs.isEmpty():
+        return edges.join(low, "u")
+    return join_lookup(edges, low, "u", hot=hubs.select(F.col("u").alias("key")))
+
+
 def tie_records(df: DataFrame, record: str = "sample_idx", user: str = "user_id", question: str = "question_id") -> DataFrame:
     """Every record with the group it is tied to (`record`, `grp`, `multi_user`).
 
@@ -59,7 +74,7 @@ def tie_records(df: DataFrame, record: str = "sample_idx", user: str = "user_id"
     and outer blanks; null and blank ids tie nothing, a record with neither is its own group. `multi_user` says whether
     the group holds at least two users. Repeated rows stay. An empty table gives no row; other columns are ignored.
     """
-    rows = df.select(F.col(record).alias("record"), clean_id(F.col(user)).alias("u"), clean_id(F.col(question)).alias("q"))
+    rows = durable(df.select(F.col(record).alias("record"), clean_id(F.col(user)).alias("u"), clean_id(F.col(question)).alias("q")))
     ends = rows.where("u is not null and q is not null").groupBy("q").agg(F.min("u").alias("m"), F.max("u").alias("x"))
     ends = durable(ends)
     # the users of a question form a star around its first one: as many links as users, never all pairs
@@ -68,22 +83,22 @@ def tie_records(df: DataFrame, record: str = "sample_idx", user: str = "user_id"
     roots = durable(connected_components(links))
     with_user = rows.where("u is not null").select("record", "u")
     tied = join_lookup(with_user, roots.withColumnRenamed("node", "u"), "u").select("record", F.concat(F.lit("u:"), "root").alias("grp"), F.lit(True).alias("multi_user"))
-    free = with_user.join(roots.withColumnRenamed("node", "u"), "u", "left_anti").select("record", F.concat(F.lit("u:"), "u").alias("grp"), F.lit(False).alias("multi_user"))
+    free = join_lookup(with_user, roots.withColumnRenamed("node", "u"), "u", how="left_anti").select("record", F.concat(F.lit("u:"), "u").alias("grp"), F.lit(False).alias("multi_user"))
     # without a user, the question decides: its users' group, or one of its own
     by_question = (
-        ends.join(roots, ends.m == roots.node, "left")
+        join_lookup(ends.withColumnRenamed("m", "node"), roots, "node", how="left").withColumnRenamed("node", "m")
         .select("q", F.concat(F.lit("u:"), F.coalesce("root", "m")).alias("grp"), F.col("root").isNotNull().alias("multi_user"))
     )
     no_user = rows.where("u is null and q is not null").select("record", "q")
     via = join_lookup(no_user, by_question, "q").select("record", "grp", "multi_user")
-    only_q = no_user.join(by_question, "q", "left_anti").select("record", F.concat(F.lit("q:"), "q").alias("grp"), F.lit(False).alias("multi_user"))
+    only_q = join_lookup(no_user, by_question, "q", how="left_anti").select("record", F.concat(F.lit("q:"), "q").alias("grp"), F.lit(False).alias("multi_user"))
     alone = rows.where("u is null and q is null").select("record", F.concat(F.lit("r:"), F.col("record").cast("string")).alias("grp"), F.lit(False).alias("multi_user"))
     return tied.unionByName(free).unionByName(via).unionByName(only_q).unionByName(alone)
 
 
-def multi_user_groups(df: DataFrame) -> DataFrame:
-    """Records whose group holds at least two users, with the smallest record of the group (`sample_idx`, `group_first`)."""
-    tied = durable(tie_records(df).where("multi_user").select("record", "grp"))
+def multi_user_groups(assigned: DataFrame) -> DataFrame:
+    """Records of an assignment whose group holds at least two users, with the group's smallest record (`sample_idx`, `group_first`)."""
+    tied = durable(assigned.where("multi_user").select("record", "grp"))
     first = tied.groupBy("grp").agg(F.min("record").alias("group_first"))
     return join_lookup(tied, first, "grp").select(F.col("record").alias("sample_idx"), "group_first")
 
@@ -171,26 +186,27 @@ def _ratios(left: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def assign_splits(df: DataFrame, label: str = "source", proportions: tuple[float, ...] = PROPORTIONS, names: tuple[str, ...] = SPLITS, chains: int = 3, steps: int = 40_000, seed: int = 42, record: str = "sample_idx", user: str = "user_id", question: str = "question_id") -> DataFrame:
-    """Every record with its split (`record`, `grp`, `split`): tied records share one, the proportions are come close to.
+    """Every record with its split (`record`, `grp`, `multi_user`, `split`): tied records share one, the proportions are come close to.
 
     A component swap search: from a hashed assignment, whole components are moved and exchanged by annealing in many
     tasks at once, to reduce the deviation of the splits' sizes and of the label counts in each; every task keeps the best
     of several chains. Components holding more than HEAVY of all records (at most 1/HEAVY of them) are placed first, in one task;
     the others then fill what is left, in parts of about PART components. Driver and closures only hold totals per
     split and label. The result does not depend on partitioning. Null labels count as one label; labels beyond the
-    MAX_LABELS - 1 most frequent are pooled for balancing only. An empty table gives no row.
+    MAX_LABELS most frequent are balanced in MAX_LABELS pools. An empty table gives no row.
     """
     share = np.array(proportions, dtype=float) / sum(proportions)
-    tied = durable(tie_records(df, record, user, question).select("record", "grp"))
+    tied = durable(tie_records(df, record, user, question).select("record", "grp", "multi_user"))
     lab = df.select(F.col(record).alias("record"), F.coalesce(F.col(label), F.lit("")).alias("label"))
-    top = [r["label"] for r in lab.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS - 1).collect()]
-    place = F.coalesce(*[F.when(F.col("label") == v, F.lit(i)) for i, v in enumerate(top)], F.lit(len(top))) if top else F.lit(0)
-    width = len(top) + 1
+    top = [r["label"] for r in lab.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()]
+    pools = MAX_LABELS if len(top) == MAX_LABELS else 1
+    place = F.coalesce(*[F.when(F.col("label") == v, F.lit(i)) for i, v in enumerate(top)], F.pmod(F.xxhash64("label"), F.lit(pools)).cast("int") + len(top))
+    width = len(top) + pools
     # repeated rows share their record id: labels are taken per row, groups per record
-    rows = lab.join(tied.distinct(), "record").select("record", "grp", place.alias("l"))
+    rows = lab.join(tied.select("record", "grp").distinct(), "record").select("record", "grp", place.alias("l"))
     comps = (
         rows.groupBy("grp", "l").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("grp").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"))  # at most MAX_LABELS entries
+        .groupBy("grp").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"))  # at most 2 MAX_LABELS entries
         .select("grp", "n", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("by", i), F.lit(0))).alias("counts"))
     )
     comps = durable(comps.withColumn("h", F.xxhash64("grp").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))))
@@ -208,7 +224,7 @@ def assign_splits(df: DataFrame, label: str = "source", proportions: tuple[float
     rest = rest.groupBy("part").applyInPandas(_searcher(wants, chains, steps, seed), schema)
     slots = durable(first.unionByName(rest).select("grp", "slot"))
     named = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("slot") + 1)
-    return join_lookup(tied, slots, "grp").select("record", "grp", named.alias("split"))
+    return join_lookup(tied, slots, "grp").select("record", "grp", "multi_user", named.alias("split"))
 
 
 def split_report(df: DataFrame, assigned: DataFrame, label: str = "source", record: str = "sample_idx") -> DataFrame:

@@ -26,8 +26,8 @@ def tie(spark, *pairs_):
 
 def test_groups_of_users(spark):
     df = tie(spark, ("a", "1"), ("A ", "2"), ("b", " 2"), ("c", "3"), (None, "2"), (None, None), (None, None), ("d", None), (None, "9"), (None, "9"), ("", "3"))
-    assert rows(splits.multi_user_groups(df)) == [(0, 0), (1, 0), (2, 0), (4, 0)]
-    assert splits.multi_user_groups(df.where("false")).count() == 0
+    assert rows(splits.multi_user_groups(splits.assign_splits(df))) == [(0, 0), (1, 0), (2, 0), (4, 0)]
+    assert splits.multi_user_groups(splits.assign_splits(df.where("false"))).count() == 0
 
 
 def test_components_match_union_find(spark):
