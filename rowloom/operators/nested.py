@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,15 @@ _SEAL = "rowloom-7c1d0f52b9e84a63"
 LINK = "struct<path:string,parent_pos:bigint,pos:bigint,node:variant>"
 
 
-def strict_object(payload: str) -> Column:
-    """The payload as a variant if, as a whole, it is one valid JSON object; else null.
+def strict_objects(df: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """The payloads that are, as a whole, one valid JSON object, as variants (`keep`, `v`), each parsed once.
 
     The JSON reader stops after the first value and ignores what follows. Inside a sealed array anything before or after
-    the object breaks the array or changes its length, so broken, repeated and blank lines give null.
+    the object breaks the array or changes its length, so broken, repeated and blank lines give no row.
     """
-    sealed = f"""try_parse_json(concat('["{_SEAL}",', `{payload}`, ',"{_SEAL}"]'))"""
-    return F.expr(
-        f"case when try_variant_get({sealed}, '$[2]', 'string') = '{_SEAL}' "
-        f"and size(try_variant_get({sealed}, '$', 'array<variant>')) = 3 "
-        f"and try_variant_get({sealed}, '$[1]', 'map<string,variant>') is not null "
-        f"then try_variant_get({sealed}, '$[1]', 'variant') end"
-    )
+    parsed = df.selectExpr(*keep, f"""try_variant_get(try_parse_json(concat('["{_SEAL}",', `{payload}`, ',"{_SEAL}"]')), '$', 'array<variant>') as _a""")
+    whole = f"size(_a) = 3 and try_variant_get(_a[2], '$', 'string') = '{_SEAL}' and try_variant_get(_a[1], '$', 'map<string,variant>') is not null"
+    return parsed.where(whole).selectExpr(*keep, "_a[1] as v")
 
 
 def _elements(value: str, text_arrays: bool = True) -> str:
@@ -51,28 +49,32 @@ def _below(parents: str, field: str, path: str, text_arrays: bool) -> str:
     return f"flatten(transform({parents}, p -> {_rows(_elements(child, text_arrays), path, 'p.pos')}))"
 
 
-def payload_links(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """One row per array element that is an object, with `path`, `parent_pos`, `pos` and the element itself (`node`).
+#: Field of each top array in a payload, and path and field of the arrays below them.
+TOPS = {"history": "history", "query": "query", "conversations": "conversations"}
+BELOW = {"query.input": ("query", "input", False), "conversations.conversation_history": ("conversations", "conversation_history", True)}
+
+
+def payload_rows(df: DataFrame, path: str, payload: str = "payload", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """The rows of one target table: one per array element of that path that is an object (`path`, `parent_pos`, `pos`, `node`).
 
-    A lone object counts as an array of one; an array written as JSON text counts as that array, except for
-    `query.input`, where text is a plain question. Elements that are no objects give no row but keep their position.
-    Null, blank and broken payloads give no row. Repeated records keep their rows. `user_id` is the payload's own, as text.
+    Only the arrays on the way to the path are read out of the payload; the ancestors' positions are attached by nested
+    transforms, flatten joins the arrays, and one inline emits the rows. A lone object counts as an array of one; an array
+    written as JSON text counts as that array, except for `query.input`, where text is a plain question. Elements that are no
+    objects give no row but keep their position. Null, blank and broken payloads give no row. Repeated records keep their
+    rows. `user_id` is the payload's own, as text.
     """
-    tops = df.select(*keep, strict_object(payload).alias("v")).where("v is not null").selectExpr(
-        *keep, "try_variant_get(v, '$.user_id', 'string') as user_id", "try_variant_get(v, '$.history', 'variant') as h", "try_variant_get(v, '$.query', 'variant') as q", "try_variant_get(v, '$.conversations', 'variant') as c"
-    )
-    level1 = tops.selectExpr(
-        *keep, "user_id",
-        f"{_rows(_elements('h'), 'history', 'cast(-1 as bigint)')} as history",
-        f"{_rows(_elements('q'), 'query', 'cast(-1 as bigint)')} as query",
-        f"{_rows(_elements('c'), 'conversations', 'cast(-1 as bigint)')} as conversations",
-    )
-    level2 = level1.selectExpr(
-        *keep, "user_id", "history", "query", "conversations",
-        f"{_below('query', 'input', 'query.input', False)} as inputs",
-        f"{_below('conversations', 'conversation_history', 'conversations.conversation_history', True)} as turns",
-    )
-    return level2.selectExpr(*keep, "user_id", "inline(concat(history, query, inputs, conversations, turns))")
+    top = BELOW[path][0] if path in BELOW else path
+    tops = strict_objects(df, payload, *keep).selectExpr(*keep, "try_variant_get(v, '$.user_id', 'string') as user_id", f"try_variant_get(v, '$.{TOPS[top]}', 'variant') as a")
+    rows = tops.selectExpr(*keep, "user_id", f"{_rows(_elements('a'), top, 'cast(-1 as bigint)')} as rows")
+    if path in BELOW:
+        _, field, as_text = BELOW[path]
+        rows = rows.selectExpr(*keep, "user_id", f"{_below('rows', field, path, as_text)} as rows")
+    return rows.selectExpr(*keep, "user_id", "inline(rows)")
+
+
+def payload_links(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """The rows of all five target tables of the payloads, as `payload_rows` gives each (`path`, `parent_pos`, `pos`, `node`)."""
+    return reduce(DataFrame.unionByName, [payload_rows(df, path, payload, keep) for path in (*TOPS, *BELOW)])
 
 
 def typed_links(df: DataFrame, arrays: tuple[str, ...] = ("history", "query"), keep: tuple[str, ...] = ("record_id", "user_id")) -> DataFrame:
@@ -118,7 +120,7 @@ def flat_turns(records: DataFrame) -> DataFrame:
 
 def _flat_payload(records: DataFrame, path: str, fields: tuple[str, ...]) -> DataFrame:
     picked = [f"try_variant_get(node, '$.{f}', 'string') as `{f.replace('.', '_')}`" for f in fields]
-    return payload_links(records).where(F.col("path") == path).selectExpr("record_id", "user_id", "parent_pos", "pos", *picked)
+    return payload_rows(records, path).selectExpr("record_id", "user_id", "parent_pos", "pos", *picked)
 
 
 def _flat_typed(history: DataFrame, column: str, fields: tuple[str, ...]) -> DataFrame:
