@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.words import cjk_share, fold, word_code, words
-from rowloom.session import spread
+from rowloom.llm.store import read_arrays, write_arrays
+from rowloom.llm.words import cjk_share, fold, has_cjk, word_code, words
+from rowloom.session import drop_folder, durable, shared_folder, spread
 
 #: A leak: so many consecutive words of the passage with at most so many altered, or so many consecutive characters.
 RUN_WORDS, ALTERED, RUN_CHARS = 20, 2, 50
@@ -20,8 +21,12 @@ WORD_WINDOW, WORD_STEP = 16, 5
 CHAR_WINDOW, CHAR_STEP = 26, 25
 #: Random walks, samples of each walk, and places per sample. See tests/llm for the measured recall per window.
 WALKS, SAMPLES, PLACES = 12, 4, 6
-#: Item windows held at once; more items are taken in further blocks over the documents.
-BLOCK_WINDOWS = 200_000
+#: Item windows in one block of the index (some 60 MB); words of a piece of a long passage.
+BLOCK_WINDOWS, PIECE = 100_000, 20_000
+#: Characters of documents searched per reading of the blocks, and candidates handled at once.
+PORTION_CHARS, PORTION = 32_000_000, 2_000_000
+#: Size of the tables of marks that spare most look-ups, in bits.
+SLOT_BITS = 19
 
 
 def walk_signatures(codes: np.ndarray, starts: np.ndarray, width: int, walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES, seed: int = 11) -> np.ndarray:
@@ -63,48 +68,73 @@ class WordCodes(dict):
         return code
 
 
-def _text_codes(text: str, by_char: bool, store: WordCodes) -> np.ndarray:
-    if by_char:
-        return np.frombuffer("".join(words(text)).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    found = words(text)
+def _char_codes(found: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(found).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+
+
+def _word_codes(found: list[str], store: WordCodes) -> np.ndarray:
     return np.fromiter(map(store.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
+def _text_codes(text: str, by_char: bool, store: WordCodes) -> np.ndarray:
+    return _char_codes(words(text)) if by_char else _word_codes(words(text), store)
+
+
+def _slots(keys: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    """Places of keys in a table of 2**bits marks."""
+    with np.errstate(over="ignore"):
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """Marks that say which keys can be in a table: a key without a mark is not."""
+    marks = np.zeros(1 << SLOT_BITS, dtype=bool)
+    marks[_slots(keys)] = True
+    return marks
+
+
 class ItemIndex:
     """Hash tables over all windows of a block of passages of one kind (words or characters)."""
 
-    def __init__(self, items: list[tuple[int, str]], by_char: bool):
+    def __init__(self, by_char: bool, ids: np.ndarray, sizes: np.ndarray, items: np.ndarray, keys: np.ndarray, order: np.ndarray):
+        """ids and sizes of the passages, their codes one behind the other, and per table its sorted keys and their windows."""
         self.by_char = by_char
         self.width, self.step, self.run = (CHAR_WINDOW, CHAR_STEP, RUN_CHARS) if by_char else (WORD_WINDOW, WORD_STEP, RUN_WORDS)
         self.altered = 0 if by_char else ALTERED
-        self.ids = [i for i, _ in items]
-        self.codes = [_text_codes(t, by_char, WordCodes()) for _, t in items]
-        flat = np.concatenate([*self.codes, np.zeros(0, dtype=np.uint64)])
-        base = np.cumsum([0, *map(len, self.codes)])
-        self.vocabulary = np.unique(flat)
-        starts, owner, offset = [], [], []
-        for k, c in enumerate(self.codes):
-            if len(c) >= self.run:
-                n = len(c) - self.width + 1
-                starts.append(base[k] + np.arange(n))
-                owner.append(np.full(n, k))
-                offset.append(np.arange(n))
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
-        self.offset = np.concatenate(offset) if offset else np.zeros(0, dtype=np.int64)
-        keys = walk_signatures(flat, np.concatenate(starts), self.width) if starts else np.zeros((0, 0), dtype=np.uint64)
-        self.order = [np.argsort(k, kind="stable") for k in keys]
-        self.keys = [k[o] for k, o in zip(keys, self.order)]
+        self.ids, self.sizes, self.items = ids, sizes, items
+        self.base = np.r_[0, np.cumsum(sizes)]
+        self.owner, self.offset = _windows(sizes, self.width, self.run)
+        self.keys, self.order = keys, order
+        self.known = _marks(items)
+        self.marks = [_marks(k) for k in keys]
+
+    @staticmethod
+    def arrays(ids: list, codes: list[np.ndarray], by_char: bool) -> dict[str, np.ndarray]:
+        """What `__init__` takes, from the passages' codes."""
+        width, run = (CHAR_WINDOW, RUN_CHARS) if by_char else (WORD_WINDOW, RUN_WORDS)
+        sizes = np.array([len(c) for c in codes], dtype=np.int64)
+        items = np.concatenate([*codes, np.zeros(0, dtype=np.uint64)])
+        owner, offset = _windows(sizes, width, run)
+        starts = (np.cumsum(sizes) - sizes)[owner] + offset
+        keys = walk_signatures(items, starts, width) if len(starts) else np.zeros((0, 0), dtype=np.uint64)
+        order = np.argsort(keys, axis=1, kind="stable") if len(starts) else np.zeros((0, 0), dtype=np.int64)
+        return {"ids": np.array(ids), "sizes": sizes, "items": items, "keys": np.take_along_axis(keys, order, axis=1) if len(starts) else keys, "order": order.astype(np.uint32)}
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str]], by_char: bool) -> ItemIndex:
+        store = WordCodes()
+        return cls(by_char, **cls.arrays([i for i, _ in items], [_text_codes(t, by_char, store) for _, t in items], by_char))
 
     def search(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs, both by position, that pass the exact verification."""
-        if not self.keys or not docs:
+        if not len(self.keys) or not docs:
             return set()
         base = np.cumsum([0, *map(len, docs)])
         flat = np.concatenate(docs)
         if len(flat) < self.width:
             return set()
         # a window with more foreign words than may be altered can't match
-        foreign = np.r_[0, np.cumsum(~np.isin(flat, self.vocabulary))]
+        foreign = np.r_[0, np.cumsum(~self.known[_slots(flat)])]
         starts = [np.arange(base[k], base[k + 1] - self.width + 1, self.step) for k in range(len(docs)) if len(docs[k]) >= self.run]
         if not starts:
             return set()
@@ -112,38 +142,40 @@ class ItemIndex:
         starts = starts[foreign[starts + self.width] - foreign[starts] <= self.altered]
         if not len(starts):
             return set()
-        keys = walk_signatures(flat, starts, self.width)
-        found = []
-        for table in range(len(keys)):
-            lo = np.searchsorted(self.keys[table], keys[table], side="left")
-            hi = np.searchsorted(self.keys[table], keys[table], side="right")
-            n = hi - lo
-            hit = np.flatnonzero(n)
-            if len(hit):
-                n = n[hit]
-                window = self.order[table][np.repeat(lo[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                found.append(np.stack([np.repeat(starts[hit], n), window]))
-        if not found:
-            return set()
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        doc = np.searchsorted(base, pairs[0], side="right") - 1
-        item = self.owner[pairs[1]]
-        diagonal = pairs[0] - base[doc] - self.offset[pairs[1]]
-        triples = np.unique(np.stack([doc, item, diagonal]), axis=1)
+        triples = [np.zeros((3, 0), dtype=np.int64)]
+        for lo in range(0, len(starts), 50_000):
+            triples += self._candidates(flat, base, starts[lo : lo + 50_000])
+        triples = np.unique(np.concatenate(triples, axis=1), axis=1)
         sure, maybe = self._runs(flat, base, *triples)
         result = set(map(tuple, triples[:2, sure].T.tolist()))
         for d, i, shift in triples[:, maybe & ~sure].T.tolist():
-            if (d, i) not in result and self._edited(docs[d], self.codes[i], shift):
+            if (d, i) not in result and self._edited(docs[d], self.items[self.base[i] : self.base[i + 1]], shift):
                 result.add((d, i))
         return result
 
+    def _candidates(self, flat: np.ndarray, base: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """(document, item, diagonal) columns of the windows that share a bucket; full buckets are taken in portions."""
+        keys = walk_signatures(flat, starts, self.width)
+        for table, own in enumerate(keys):
+            some = np.flatnonzero(self.marks[table][_slots(own)])
+            lo = np.searchsorted(self.keys[table], own[some], side="left")
+            hi = np.searchsorted(self.keys[table], own[some], side="right")
+            there = hi > lo
+            some, lo, n = some[there], lo[there], (hi - lo)[there]
+            part = np.cumsum(n) // PORTION
+            for p in np.unique(part):
+                k = part == p
+                size = n[k]
+                window = self.order[table][np.repeat(lo[k] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())].astype(np.int64)
+                at = np.repeat(starts[some[k]], size)
+                doc = np.searchsorted(base, at, side="right") - 1
+                yield np.unique(np.stack([doc, self.owner[window], at - base[doc] - self.offset[window]]), axis=1)
+
     def _runs(self, flat: np.ndarray, base: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For many diagonals at once: whether a run of the item stands there with few enough words altered; and whether it
         could with words left out or put in, whose other words then all stand on a few diagonals nearby."""
         sure, maybe = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
-        sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
-        item_base = np.r_[0, np.cumsum(sizes)]
-        items = np.concatenate(self.codes)
+        sizes, item_base, items = self.sizes, self.base, self.items
         reach = 2 * self.altered
         for lo in range(0, len(doc), 5_000):
             d, i, sh = doc[lo : lo + 5_000], item[lo : lo + 5_000], shift[lo : lo + 5_000]
@@ -204,18 +236,49 @@ class ItemIndex:
         return False
 
 
-def item_blocks(items: DataFrame, item: str = "item_id", text: str = "passage") -> Iterator[list[tuple[int, str]]]:
-    """The passages in blocks of at most BLOCK_WINDOWS characters or words; each block is small enough to be broadcast."""
-    sized = items.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
-    block, size = [], 0
-    for row in sized.toLocalIterator():
-        block.append((row["i"], row["t"]))
-        size += len(row["t"])
-        if size >= BLOCK_WINDOWS * 6:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _windows(sizes: np.ndarray, width: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and offset of every window of the passages that are long enough to leak."""
+    n = np.where(sizes >= run, sizes - width + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    return owner, np.arange(n.sum()) - (np.cumsum(n) - n)[owner]
+
+
+def passage_pieces(items: DataFrame, item: str, passage: str) -> DataFrame:
+    """The passages as words (`item`, `chars`, `words`, `n`), long ones in pieces that overlap by what a leaked run can span."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, t in zip(batch["item"], batch["text"]):
+                by_char = cjk_share(fold(t)) > 0.5
+                found = list("".join(words(t))) if by_char else words(t)
+                step = PIECE - (RUN_CHARS if by_char else RUN_WORDS + ALTERED)
+                out += [(i, by_char, " ".join(found[lo : lo + PIECE]), len(found[lo : lo + PIECE])) for lo in range(0, max(1, len(found)), step)]
+            yield pd.DataFrame(out, columns=["item", "chars", "words", "n"])
+
+    rows = items.where(F.col(passage).isNotNull()).select(F.col(item).alias("item"), F.col(passage).alias("text"))
+    return rows.mapInPandas(run, f"item {items.schema[item].dataType.simpleString()}, chars boolean, words string, n long")
+
+
+def build_index(items: DataFrame, item: str, passage: str, uri: str) -> list[tuple[str, bool]]:
+    """Write the hash tables of the passages to the shared folder, a file per block of about BLOCK_WINDOWS windows."""
+    pieces = durable(passage_pieces(items, item, passage))
+    sizes = {r["chars"]: -(-r["n"] // BLOCK_WINDOWS) for r in pieces.groupBy("chars").agg(F.sum("n").alias("n")).collect() if r["n"]}
+    if not sizes:
+        return []
+    n_blocks = F.when(F.col("chars"), F.lit(sizes.get(True, 1))).otherwise(F.lit(sizes.get(False, 1)))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_char, block = bool(pdf["chars"].iloc[0]), int(pdf["block"].iloc[0])
+        store = WordCodes()
+        codes = [_char_codes([w.replace(" ", "")]) if by_char else _word_codes(w.split(" ") if w else [], store) for w in pdf["words"]]
+        name = f"{'c' if by_char else 'w'}{block}.npz"
+        write_arrays(uri, name, ItemIndex.arrays(pdf["item"].tolist(), codes, by_char))
+        return pd.DataFrame({"name": [name], "chars": [by_char]})
+
+    blocks = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), n_blocks).cast("int"))
+    built = durable(blocks.groupBy("chars", "block").applyInPandas(build, "name string, chars boolean"))
+    return sorted((r["name"], r["chars"]) for r in built.collect())
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
@@ -224,44 +287,61 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     A leak is a run of RUN_WORDS words of the passage in the document with at most ALTERED of them altered, left out
     or put in; for passages in Chinese or Japanese, RUN_CHARS characters in a row. Case, marks, spacing and Unicode form do
     not count. Candidates come from bit-sampling LSH on CGK walks over windows, and each is verified exactly.
-    The items are the query set, held in blocks; the documents are read once per block and never shuffled. Null, empty and
-    short texts match nothing; repeated documents are each reported; items with equal text are all reported.
+    The items are the query set: tasks write their hash tables in blocks to the shared folder, and every task over documents
+    reads each block once for many documents. The documents are read once and never shuffled, but for small tables that are
+    dealt out. Null, empty and short texts match nothing; repeated documents are each reported; items with equal text are
+    all reported.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
-    kind = rows.schema["key"].dataType.simpleString()
-    item_kind = items.schema[item].dataType.simpleString()
-    results = []
-    for block in item_blocks(items, item, passage):
-        chars = [x for x in block if cjk_share(fold(x[1])) > 0.5]
-        taken = {i for i, _ in chars}
-        index = sc.broadcast([ItemIndex([x for x in block if x[0] not in taken], False), ItemIndex(chars, True)])
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            by_word, by_char = index.value
-            store = WordCodes()
-            for batch in batches:
-                for lo in range(0, len(batch), 1000):
-                    part = batch.iloc[lo : lo + 1000]
-                    keys, texts = part["key"].tolist(), part["text"].tolist()
-                    found: dict = defaultdict(set)
-                    for d, i in by_word.search([_text_codes(t, False, store) for t in texts]):
-                        found[d].add(by_word.ids[i])
-                    some = [d for d, t in enumerate(texts) if len(t) >= RUN_CHARS and not t.isascii() and cjk_share(t) > 0]
-                    for d, i in by_char.search([_text_codes(texts[d], True, store) for d in some]):
-                        found[some[d]].add(by_char.ids[i])
-                    pairs = [(keys[d], i) for d in sorted(found) for i in sorted(found[d])]
-                    yield pd.DataFrame({"key": [a for a, _ in pairs], "item": [b for _, b in pairs]}).astype({} if pairs else {"key": "object"})
-
-        results.append(rows.mapInPandas(run, f"key {kind}, item {item_kind}"))
-    if not results:
-        return rows.select("key", F.lit(None).cast(item_kind).alias("item")).where("false").withColumnsRenamed({"key": key, "item": item})
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionByName(more)
+    kind, item_kind = rows.schema["key"].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    uri = shared_folder(spark, "rowloom-cgk")
+    blocks = build_index(items, item, passage, uri)
+
+    def search(portion: list[tuple[object, np.ndarray, np.ndarray | None]]) -> pd.DataFrame:
+        found: dict[int, set] = defaultdict(set)
+        for name, by_char in blocks:
+            index = _load(uri, name, by_char)
+            some = [d for d, (_, _, c) in enumerate(portion) if not by_char or c is not None]
+            for lo in range(0, len(some), 1000):
+                part = some[lo : lo + 1000]
+                for d, i in index.search([portion[x][2 if by_char else 1] for x in part]):
+                    found[part[d]].add(index.ids[i].item())
+        pairs = [(portion[d][0], i) for d in sorted(found) for i in sorted(found[d])]
+        return pd.DataFrame({"key": [a for a, _ in pairs], "item": [b for _, b in pairs]}).astype({} if pairs else {"key": "object"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = WordCodes()
+        portion: list = []
+        size = 0
+        for batch in batches:
+            for k, t in zip(batch["key"].tolist(), batch["text"]):
+                found = words(t)
+                portion.append((k, _word_codes(found, store), _char_codes(found) if len(t) >= RUN_CHARS and has_cjk(t) else None))
+                size += len(t)
+                if size >= PORTION_CHARS:
+                    yield search(portion)
+                    portion, size = [], 0
+        if portion:
+            yield search(portion)
+
+    found = durable(rows.mapInPandas(run, f"key {kind}, item {item_kind}"))
+    drop_folder(spark, uri)
     return found.withColumnsRenamed({"key": key, "item": item})
 
 
+#: The block read last by this process.
+_LOADED: dict[tuple[str, str], ItemIndex] = {}
+
+
+def _load(uri: str, name: str, by_char: bool) -> ItemIndex:
+    if (uri, name) not in _LOADED:
+        if len(_LOADED) >= 2:
+            _LOADED.clear()
+        _LOADED[uri, name] = ItemIndex(by_char, **(read_arrays(uri, name) or {}))
+    return _LOADED[uri, name]
+
+
 def leak_report(docs: DataFrame, items: DataFrame, found: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """Per leaked item: source, split and the number of documents that repeat it."""
     per_item = found.groupBy(item).agg(F.countDistinct(key).alias("n_docs"))

@@ -47,6 +47,10 @@ def cjk_share(text: str) -> float:
     return len(_ANY_CJK.findall(text)) / letters if letters else 0.0
 
 
+def has_cjk(text: str) -> bool:
+    return not text.isascii() and _ANY_CJK.search(text) is not None
+
+
 def word_code(word: str) -> int:
     """A number for a word that is the same in every process (58 bits)."""
     raw = word.encode("utf-8", "replace")
