@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import fmindex
+from rowloom.llm.store import read_arrays, write_arrays
 from rowloom.llm.words import lcs_length, says_nothing, strip_markup, units, word_code
-from rowloom.session import durable, ensure_checkpoint_dir, spread
+from rowloom.operators.skew import heavy_keys, join_lookup
+from rowloom.session import drop_folder, durable, shared_folder, spread
 
 TRAIN = "train"
 #: Share of the longer text's words that must stand in the other in the same order.
@@ -23,8 +22,8 @@ NEAR = 0.8
 SHARD_WORDS = 4_000_000
 #: Buckets of the word counts that bound how many words two texts can share.
 BUCKETS = 256
-#: Texts searched at once.
-BATCH = 2_000
+#: Texts searched at once, and words of training texts for which every shard is read once.
+BATCH, PORTION_WORDS = 2_000, 8_000_000
 
 
 def normal_text(text: str | None) -> str:
@@ -108,33 +107,6 @@ def _near(a: np.ndarray, cut_a: int, b: np.ndarray, cut_b: int, n_a: int, n_b: i
     return True
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a Hadoop-style address of the shared folder."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
-
-
-def _write(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    files, path = _folder(uri)
-    files.create_dir(path, recursive=True)
-    whole = io.BytesIO()
-    np.savez(whole, **arrays)
-    temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(temporary) as f:
-        f.write(whole.getbuffer())
-    files.move(temporary, f"{path}/{name}")  # a task that runs twice leaves one whole file
-
-
-def _read(uri: str, name: str) -> dict[str, np.ndarray]:
-    files, path = _folder(uri)
-    with files.open_input_file(f"{path}/{name}") as f:
-        with np.load(io.BytesIO(f.read())) as z:
-            return {k: z[k] for k in z.files}
-
-
 def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFrame:
     """Write an index for each shard of the evaluation texts (`kind`, `h`, `text`, `shard`) to the shared folder."""
 
@@ -147,9 +119,9 @@ def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFram
         index["bags"] = _bags([index["symbols"][a : a + m] for a, m in zip(index["start"], index["sizes"])])
         fmindex.ready(index)
         index = {k: index[k] for k in ("vocabulary", "symbols", "steps", "start", "sizes", "cuts", "bags", "group", "rank0", "rank1")}
-        index["h"] = np.array(pdf["h"].tolist(), dtype="U32")
+        index["h"] = np.array(pdf["h"].tolist(), dtype="S32")
         kind, shard = pdf["kind"].iloc[0], int(pdf["shard"].iloc[0])
-        _write(uri, f"{kind}-{shard}.npz", index)
+        write_arrays(uri, f"{kind}-{shard}.npz", index)
         return pd.DataFrame({"kind": [kind], "shard": [shard], "n_texts": [len(pdf)], "n_words": [int(index["sizes"].sum())]})
 
     return texts.groupBy("kind", "shard").applyInPandas(run, "kind string, shard int, n_texts long, n_words long")
@@ -179,8 +151,7 @@ def search_texts(index: dict[str, np.ndarray], codes: list[np.ndarray], cuts: li
 def near_classes(units_: DataFrame) -> DataFrame:
     """Pairs of a training text and an evaluation text that are nearly, not exactly, the same (`kind`, `h_train`, `h_eval`)."""
     spark = units_.sparkSession
-    ensure_checkpoint_dir(spark)
-    uri = f"{spark.sparkContext.getCheckpointDir()}/rowloom-fm-{uuid.uuid4().hex}"
+    uri = shared_folder(spark, "rowloom-fm")
     distinct = lambda rows: rows.groupBy("kind", "h").agg(F.first("text").alias("text"))
     held = durable(distinct(units_.where(F.col("split") != TRAIN)))
     sizes = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.sum(F.size(F.split("text", "[ \t]")) + 1).alias("n")).collect()}
@@ -191,28 +162,54 @@ def near_classes(units_: DataFrame) -> DataFrame:
     durable(build_shards(held.withColumn("shard", F.pmod(F.xxhash64("h"), per_kind).cast("int")), uri, shards))
     training = distinct(units_.where(F.col("split") == TRAIN)).where(F.col("kind").isin(*shards))
 
+    def search(portion: list[tuple[str, str, np.ndarray, int]]) -> Iterator[pd.DataFrame]:
+        for kind, n in shards.items():
+            mine = [x for x in portion if x[0] == kind]
+            for shard in range(n if mine else 0):
+                index = read_arrays(uri, f"{kind}-{shard}.npz")
+                if index is None:  # no text fell into this shard
+                    continue
+                rows = []
+                for lo in range(0, len(mine), BATCH):
+                    part = mine[lo : lo + BATCH]
+                    pairs = search_texts(index, [c for _, _, c, _ in part], [cut for *_, cut in part])
+                    rows += [(kind, part[a][1], index["h"][b].decode()) for a, b in pairs]
+                yield pd.DataFrame([r for r in rows if r[1] != r[2]], columns=["kind", "h_train", "h_eval"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store: dict = {}
-        last: tuple[str, dict] = ("", {})
+        portion: list = []
+        size = 0
         for batch in batches:
-            for kind, part in batch.groupby("kind", sort=True):
-                hs = part["h"].tolist()
-                cut = [_words(t) for t in part["text"]]
-                codes = [_codes(w, store, c) for w, c in cut]
-                cuts = [c for _, c in cut]
-                for shard in range(shards[kind]):
-                    name = f"{kind}-{shard}.npz"
-                    if last[0] != name:
-                        try:
-                            last = (name, _read(uri, name))
-                        except FileNotFoundError:  # no text fell into this shard
-                            continue
-                    index, rows = last[1], []
-                    for lo in range(0, len(hs), BATCH):
-                        rows += [(kind, hs[lo + a], str(index["h"][b])) for a, b in search_texts(index, codes[lo : lo + BATCH], cuts[lo : lo + BATCH]) if hs[lo + a] != index["h"][b]]
-                    yield pd.DataFrame(rows, columns=["kind", "h_train", "h_eval"])
-
-    return durable(training.mapInPandas(run, "kind string, h_train string, h_eval string"))
+            for kind, h, text in zip(batch["kind"], batch["h"], batch["text"]):
+                found, cut = _words(text)
+                portion.append((kind, h, _codes(found, store, cut), cut))
+                size += len(found)
+                if size >= PORTION_WORDS:  # every shard is read once for so many words
+                    yield from search(portion)
+                    portion, size = [], 0
+        yield from search(portion)
+
+    found = durable(training.mapInPandas(run, "kind string, h_train string, h_eval string"))
+    drop_folder(spark, uri)
+    return found
+
+
+def linked_classes(rows: DataFrame) -> DataFrame:
+    """Pairs of a training text and an evaluation text that are the same or nearly so (`kind`, `h_train`, `h_eval`), each once."""
+    sides = rows.groupBy("kind", "h").agg(F.max(F.col("split") == TRAIN).alias("t"), F.max(F.col("split") != TRAIN).alias("e"))
+    same = sides.where("t and e").selectExpr("kind", "h as h_train", "h as h_eval")
+    return durable(near_classes(rows).unionByName(same))
+
+
+def _salted_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.002, salts: int = 64) -> DataFrame:
+    """Inner join in which neither side's hot keys meet in one task: their right rows are dealt out over salts, their left rows go to each."""
+    hot = F.broadcast(heavy_keys(right, F.col(key), share).select(F.col("key").alias(key), F.lit(True).alias("hot")))  # at most 1/share keys
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = F.when(F.col("hot"), F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    a = left.join(hot, key, "left").withColumn("salt", F.explode(every)).drop("hot")
+    b = right.join(hot, key, "left").withColumn("salt", one).drop("hot")
+    return a.join(b, [key, "salt"]).drop("salt")
 
 
 def overlapping_pairs(df: DataFrame) -> DataFrame:
@@ -226,19 +223,21 @@ def overlapping_pairs(df: DataFrame) -> DataFrame:
     null or blank profiles take no part; rows without a split are neither side. Repeated rows each pair.
     """
     rows = durable(text_units(df.where(F.col("split").isNotNull())))
-    links = rows.select("kind", "h", "sample_idx", "split")
-    sides = links.groupBy("kind", "h").agg(F.max(F.col("split") == TRAIN).alias("t"), F.max(F.col("split") != TRAIN).alias("e"))
-    same = sides.where("t and e").selectExpr("kind", "h as h_train", "h as h_eval")
-    classes = durable(near_classes(rows).unionByName(same))
-    train = links.where(F.col("split") == TRAIN).select("kind", F.col("h").alias("h_train"), F.col("sample_idx").alias("a"))
-    held = links.where(F.col("split") != TRAIN).select("kind", F.col("h").alias("h_eval"), F.col("sample_idx").alias("b"))
-    pairs = classes.join(held, ["kind", "h_eval"]).join(train, ["kind", "h_train"])
+    classes = linked_classes(rows).select(F.concat_ws(":", "kind", "h_train").alias("train"), F.concat_ws(":", "kind", "h_eval").alias("held"), "kind")
+    train = rows.where(F.col("split") == TRAIN).select(F.concat_ws(":", "kind", "h").alias("train"), F.col("sample_idx").alias("a"))
+    held = rows.where(F.col("split") != TRAIN).select(F.concat_ws(":", "kind", "h").alias("held"), F.col("sample_idx").alias("b"))
+    pairs = _salted_join(_salted_join(classes, held, "held").drop("held"), train, "train")
     return pairs.select(F.least("a", "b").alias("sample_a"), F.greatest("a", "b").alias("sample_b"), "kind")
 
 
 def overlap_report(df: DataFrame) -> DataFrame:
-    """Per evaluation split and source: records that repeat a training record, by kind, and the number of pairs."""
-    pairs = overlapping_pairs(df)
-    held = df.where(F.col("split") != TRAIN).select("sample_idx", "source", "split").distinct()
-    both = pairs.select(F.col("sample_a").alias("sample_idx"), "sample_b", "kind").unionByName(pairs.select(F.col("sample_b").alias("sample_idx"), F.col("sample_a").alias("sample_b"), "kind"))
-    return both.join(held, "sample_idx").groupBy("split", "source", "kind").agg(F.countDistinct("sample_idx").alias("n_records"), F.count(F.lit(1)).alias("n_pairs"))
+    """Per evaluation split and source: records that repeat a training record, by kind, and the number of pairs.
+
+    The pairs are counted from the classes of equal texts and never listed.
+    """
+    rows = durable(text_units(df.where(F.col("split").isNotNull())))
+    copies = rows.where(F.col("split") == TRAIN).groupBy("kind", F.col("h").alias("h_train")).agg(F.count(F.lit(1)).alias("n"))
+    partners = linked_classes(rows).join(copies, ["kind", "h_train"]).groupBy(F.concat_ws(":", "kind", "h_eval").alias("held")).agg(F.sum("n").alias("n"))
+    held = rows.where(F.col("split") != TRAIN).select(F.concat_ws(":", "kind", "h").alias("held"), "sample_idx", "source", "split", "kind")
+    per_record = join_lookup(held, partners, "held").groupBy("split", "source", "kind", "sample_idx").agg(F.sum("n").alias("n"))
+    return per_record.groupBy("split", "source", "kind").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"))
