@@ -5,6 +5,7 @@ from __future__ import annotations
 import marshal
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,12 +25,20 @@ CLOSERS = set(")]}）］｝」』》〉】〕〗”“’»«›‹\"'")
 BACKOFF = 0.01
 #: Log odds of a boundary by what parts the mark from what follows: nothing, blanks, a line break; in scripts without
 #: spaces, nothing behind a closing mark, where the sentence mostly goes on.
-GAP_ODDS = {"-": -2.5, "s": 0.3, "n": 0.8, "q": -2.0}
+#: A Thai space that touches no digit, Latin letter or repetition mark mostly ends a sentence, another one hardly ever.
+GAP_ODDS = {"-": -2.5, "s": 0.3, "n": 0.8, "q": -2.0, "t": 6.0, "T": -6.0}
 #: Log odds of two boundaries with at most one word between them.
 SHORT_ODDS = -1.5
 
-#: Kinds of counts: left types, words at paragraph starts, words behind words, words behind short left types.
-STATISTICS = ("left", "after", "inside", "pairs")
+#: Left type of a Thai space, where a boundary can stand without a mark.
+THAI = "<thai>\t\t"
+#: Share of boundaries below which what follows a left type counts as standing inside sentences.
+SELDOM = 0.05
+#: Weight of the words behind all words against those behind one left type.
+PAIR_WEIGHT = 50.0
+#: Tables of counts, each of fixed size whatever the vocabulary (2**bits places by hash): left types and their classes and marks,
+#: words at paragraph starts and behind words with their shapes, and pairs of left type and word behind it.
+TABLES = {"left": 18, "class": 12, "marks": 12, "after": 18, "inside": 18, "after_shape": 8, "inside_shape": 8, "pairs": 20}
 
 _MARKS = re.escape(END_MARKS)
 _DOTTED = r"(?<![^\W\d_])(?:[^\W\d_]\.)+[^\W\d_](?![^\W_])|(?<![^\W\d_])Ph\.D(?![^\W_])"
@@ -45,6 +54,7 @@ _DOTTED_END = re.compile(f"(?:{_DOTTED})$")
 _BLANKS = re.compile(r"\s*")
 _LEAD = re.compile("[" + re.escape(OPENERS) + "   ]*")
 _NUMBERED = re.compile(r"[0-9]{1,3}[.)]\s")
+_MID = re.compile("(?:(?<=[^\\W\\d_])[ \u00a0]|[\uff0c\u3001,][ ]?)([^\\W_][\\w'\u2019]*\\.?)")
 _LIST = re.compile(r"[^\S\n]*(?:\(?[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})$")
 
 
@@ -98,6 +108,9 @@ def _matched(text: str) -> np.ndarray | None:
 
 def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
     at = 0
+    if text.count("\n") < 2 and "\u2029" not in text and "\x85" not in text:
+        yield at, len(text)
+        return
     for m in _PARAGRAPH.finditer(text):
         yield at, m.start()
         at = m.end()
@@ -148,11 +161,14 @@ def find_sites(text: str) -> tuple[list[tuple[int, int, str, str, str, int]], li
         first = _WORD.search(part)
         if first:
             starts.append(_right_type(part, first))
+        gaps = []
         if _THAI.search(part):
             for m in _THAI_GAP.finditer(part):
                 a, b = part[m.start() - 1], part[m.end()]
-                if (_THAI.match(a) or _THAI.match(b)) and not _TOUCH.match(a) and not _TOUCH.match(b):
-                    sure.append(lo + m.end())
+                if _THAI.match(a) or _THAI.match(b):
+                    r = _WORD.match(part, m.end())
+                    free = not _TOUCH.match(a) and not _TOUCH.match(b)
+                    gaps.append((p, lo + m.end(), THAI, "t" if free else "T", _right_type(part, r)[:6] if r else "<mark>", 9))
         depth, known = None, False
         before = 0
         for m in _SITE.finditer(part):
@@ -217,98 +233,146 @@ def find_sites(text: str) -> tuple[list[tuple[int, int, str, str, str, int]], li
             between = part[before:s]
             sites.append((p, lo + ahead, left, g, right, len(between.split()) if not _CJK.search(between) else 9))
             before = end
+        if gaps:
+            marked = {s[1] for s in sites}
+            sites = sorted([*sites, *[g for g in gaps if g[1] not in marked]], key=lambda s: s[1])
     return sites, sure, starts
 
 
 def mid_words(text: str) -> Counter:
     """Words that surely begin no sentence: those behind another word with only a blank between them, or behind a comma."""
     found: Counter = Counter()
-    for m in re.finditer(r"(?<=[^\W\d_])[  ]([^\W_][\w'’]*)|[，、,][ ]?([^\W_][\w'’]*)", text):
-        w = m.group(1) or m.group(2)
+    for w, n in Counter(_MID.findall(text)).items():
+        if w[-1] == ".":
+            w = "<initial>" if len(w) == 2 and w[0].isupper() else w[:-1]
         if w[0].isdigit():
             w = "<9>"
-        elif len(w) == 1 and w.isupper() and text[m.end() : m.end() + 1] == ".":
-            w = "<initial>"
-        found[w[0] if _CJK.match(w) else w[:24]] += 1
+        found[w[0] if _CJK.match(w) else w[:24]] += n
     return found
 
 
+def place(table: str, key: str) -> int:
+    """Place of a key in a table of counts."""
+    return zlib.crc32(key.encode("utf-8", "replace")) >> (32 - TABLES[table])
+
+
+def left_class(key: str) -> str:
+    """Class of a left type that lends statistics to rare words: its length and kind, with the marks."""
+    kind, _, marks = key.partition("\t")
+    if not kind[:1].isalpha():
+        return key
+    if "." in kind:
+        return f"dotted\t{marks}"
+    return f"{'letter' if len(kind) == 1 else 'short' if len(kind) <= 5 else 'long'}\t{marks}"
+
+
+def count_events(total: dict[str, Counter], ends: Counter) -> list[tuple[str, int, int, int]]:
+    """Counts of types as counts of places (`table`, `place`, `n`, `e`): those of their classes and shapes are added."""
+    found: dict[tuple[str, int], list[int]] = {}
+
+    def add(table: str, key: str, n: int, e: int = 0) -> None:
+        c = found.setdefault((table, place(table, key)), [0, 0])
+        c[0] += n
+        c[1] += e
+
+    for key, n in total["left"].items():
+        e = ends[key]
+        add("left", key, n, e)
+        add("class", left_class(key), n, e)
+        add("marks", key.partition("\t")[2], n, e)
+    for table in ("after", "inside"):
+        for w, n in total[table].items():
+            add(table, w, n)
+            add(f"{table}_shape", shape(w), n)
+    out = [(t, k, n, e) for (t, k), (n, e) in found.items()]
+    # pairs keep both places, and that of the right word's shape
+    for key, n in total["pairs"].items():
+        left, _, right = key.rpartition("\t")
+        out.append(("pairs", place("left", left) << 32 | place("inside", right), n, place("inside_shape", shape(right))))
+    return out
+
+
+def pair_place(left: int, right: int) -> int:
+    """Place of a pair in its table, from the places of its parts."""
+    return (left * 0x9E3779B1 ^ right * 0x85EBCA77) % (1 << TABLES["pairs"])
+
+
 class BoundaryModel:
-    """Hidden-event model: P(boundary | word and marks before), P(word after | boundary or not), joined by forward-backward."""
-
-    def __init__(self, left: dict[str, tuple[float, float]], after: dict[str, float], inside: dict[str, float], pairs: dict[str, float]):
-        """left: sites and paragraph ends by left type; after: words at paragraph starts; inside: words behind words;
-        pairs: words behind short left types, which are expected to begin no sentence as far as those end none."""
-        ends, n = sum(e for _, e in left.values()), sum(k for k, _ in left.values())
-        by_marks: dict[str, list[float]] = {}
-        for key, (k, e) in left.items():
-            c = by_marks.setdefault(key.partition("\t")[2], [0.0, 0.0])
-            c[0] += k
-            c[1] += e
+    """Hidden-event bigram model over words and boundary tokens, joined by forward-backward.
+
+    At each site: P(boundary | left type) P(right word | boundary) against P(no boundary | left type) P(right word | left type).
+    """
+
+    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """Per table the counts by place, and of these the ones at paragraph ends."""
+        full = {t: tables.get(t, (np.zeros(1 << bits), np.zeros(1 << bits))) for t, bits in TABLES.items()}
+        self.counts = {t: n for t, (n, _) in full.items()}
+        self.ends = {t: full[t][1] for t in ("left", "class", "marks")}
+        n, e = self.counts["marks"], self.ends["marks"]
         # a paragraph ends at this share of true boundaries: taken from the full stops, whose left words are mostly true ends
-        self.end_share = max(ends / n if n else 0.2, 1e-3)
-        strong = [e / k for k, e in by_marks.values() if k >= 50 and e]
-        if strong:
-            self.end_share = float(np.median(sorted(strong, reverse=True)[: max(1, len(strong) // 2)]))
-        self.prior: dict[str, float] = {}
-        by_class: dict[tuple[str, str], list[float]] = {}
-        for key, (k, e) in left.items():
-            c = by_class.setdefault(self._class(key), [0.0, 0.0])
-            c[0] += k
-            c[1] += e
-        self.by_class = {c: min(0.97, (e + 0.5 * self.end_share) / ((k + 0.5) * self.end_share)) for c, (k, e) in by_class.items()}
-        for key, (k, e) in left.items():
-            base = self.by_class[self._class(key)]
-            # long words are seldom abbreviations; a word that is often seen and never ends a paragraph is one
-            weight = 15.0 if self._class(key)[0] == "long" else (0.3 if not e and k >= 20 else 3.0)
-            share = (e + weight * base * self.end_share) / ((k + weight) * self.end_share)
-            self.prior[key] = float(min(0.995, max(0.0005, share)))
-        self.by_marks = {m: min(0.97, max(0.02, (e + 0.5 * self.end_share) / ((k + 0.5) * self.end_share))) for m, (k, e) in by_marks.items()}
+        self.end_share = max(float(e.sum() / n.sum()) if n.sum() else 0.2, 1e-3)
+        strong = np.sort((e[(n >= 50) & (e > 0)] / n[(n >= 50) & (e > 0)]))[::-1]
+        if len(strong):
+            self.end_share = float(np.median(strong[: max(1, len(strong) // 2)]))
+        self.n_after, self.n_inside = max(1.0, float(self.counts["after"].sum())), max(1.0, float(self.counts["inside"].sum()))
         self.known: dict[tuple[str, str, str], float] = {}
-        self.after, self.inside = after, dict(inside)
-        for key, n in pairs.items():
-            kind, _, right = key.rpartition("\t")
-            if right != "<end>" and self.prior.get(kind, 1.0) < 0.05:
-                self.inside[right] = self.inside.get(right, 0.0) + n * (1 - self.prior[kind])
-        inside = self.inside
-        self.n_after, self.n_inside = max(1.0, sum(after.values())), max(1.0, sum(inside.values()))
-        self.shape_after, self.shape_inside = Counter(), Counter()
-        for w, c in after.items():
-            self.shape_after[shape(w)] += c
-        for w, c in inside.items():
-            self.shape_inside[shape(w)] += c
-
-    @staticmethod
-    def _class(key: str) -> tuple[str, str]:
-        """Class of a left type that lends statistics to rare words: its length and kind, with the marks."""
-        kind, _, marks = key.partition("\t")
-        if not kind[:1].isalpha():
-            return kind, marks
-        if "." in kind:
-            return "dotted", marks
-        return ("letter" if len(kind) == 1 else "short" if len(kind) <= 5 else "long"), marks
-
-    def _word_odds(self, w: str) -> float:
+        # left types that as good as never end a sentence, by place: their right words are words inside sentences
+        k, e = self.counts["left"], self.ends["left"]
+        weight = np.where((e == 0) & (k >= 20), 0.3, 3.0)
+        share = (e + weight * 0.5 * self.end_share) / ((k + weight) * self.end_share)
+        self.inner = np.where((k > 0) & (share < SELDOM), np.minimum(1.0, np.maximum(0.0, 1 - share)), 0.0).astype(np.float32)
+
+    def _share(self, table: str, key: str) -> float:
+        """Share of boundaries among the sites of a class, smoothed."""
+        k, e = self.counts[table][place(table, key)], self.ends[table][place(table, key)]
+        return float(min(0.97, (e + 0.5 * self.end_share) / ((k + 0.5) * self.end_share)))
+
+    def prior(self, left: str) -> float:
+        """P(boundary | left type): how often it ends a paragraph against how often it stands anywhere."""
+        if left == THAI:
+            return 0.5
+        at, kind = place("left", left), left_class(left)
+        k, e = self.counts["left"][at], self.ends["left"][at]
+        if not k:
+            if self.counts["class"][place("class", kind)]:
+                return max(0.003, self._share("class", kind))
+            marks = left.partition("\t")[2]
+            return max(0.02, self._share("marks", marks)) if self.counts["marks"][place("marks", marks)] else 0.5
+        # long words are seldom abbreviations; a word that is often seen and never ends a paragraph is one
+        weight = 15.0 if kind.startswith("long") else (0.3 if not e and k >= 20 else 3.0)
+        share = (e + weight * self._share("class", kind) * self.end_share) / ((k + weight) * self.end_share)
+        return float(min(0.995, max(0.0005, share)))
+
+    def _word_odds(self, left: str, prior: float, w: str) -> float:
+        """Log of P(word | boundary) / P(word | left type, no boundary)."""
         if w == "<mark>":
             return -0.5
         s = shape(w)
         # the shape's share, smoothed so that a shape seen on neither side says nothing
-        like_after = (self.shape_after[s] + 1e-4 * self.n_after) / self.n_after
-        like_inside = (self.shape_inside[s] + 1e-4 * self.n_inside) / self.n_inside
+        like_after = (self.counts["after_shape"][place("after_shape", s)] + 1e-4 * self.n_after) / self.n_after
+        like_inside = (self.counts["inside_shape"][place("inside_shape", s)] + 1e-4 * self.n_inside) / self.n_inside
         if s in ("<cjk>", "<x>"):  # scripts without capitals: their shape says nothing
             like_after = like_inside = 0.1
-        up = self.after.get(w, 0) / self.n_after + BACKOFF * like_after
-        down = self.inside.get(w, 0) / self.n_inside + BACKOFF * like_inside
+        up = self.counts["after"][place("after", w)] / self.n_after + BACKOFF * like_after
+        down = self.counts["inside"][place("inside", w)] / self.n_inside + BACKOFF * like_inside
+        alone = math.log(up / down)
+        # expectation: how many of the other pairs of this left type and word hold no boundary, by each side alone
+        pairs = max(0.0, self.counts["pairs"][pair_place(place("left", left), place("inside", w))] - 1.0)
+        inner = pairs * (1 - prior) ** 2 / (1 + math.exp(max(-30.0, min(30.0, alone))))
+        n = self.counts["left"][place("left", left)] * (1 - prior)
+        # maximisation: the bigram where it says more than the words behind all words, to which unseen pairs back off whole
+        down = max(down, (inner + PAIR_WEIGHT * down) / (max(n, inner) + PAIR_WEIGHT))
         return max(-7.0, min(7.0, math.log(up / down)))
 
     def odds(self, left: str, gap: str, right: str) -> float:
         """Log odds of a boundary at a site by its own words and marks."""
         if right == "<end>":
             return 20.0
-        p = self.prior.get(left)
-        if p is None:
-            p = min(0.97, max(0.003, self.by_class.get(self._class(left), self.by_marks.get(left.partition("\t")[2], 0.5))))
-        return math.log(p / (1 - p)) + self._word_odds(right) + GAP_ODDS.get(gap, 0.0)
+        p = self.prior(left)
+        words = self._word_odds(left, p, right)
+        if left == THAI:
+            words = max(-3.0, min(3.0, words))
+        return math.log(p / (1 - p)) + words + GAP_ODDS.get(gap, 0.0)
 
     def boundaries(self, sites: list[tuple]) -> list:
         """Places of the sites at which a sentence ends: posterior above one half, by forward-backward over a paragraph's sites."""
@@ -375,8 +439,8 @@ def split_sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     The marks of a text are sites of a hidden boundary event. The model's statistics come from the whole corpus: how often a
     word with its marks ends a paragraph against how often it stands anywhere tells abbreviations and inner quotations
     from true ends; words at paragraph starts and words behind words tell how a sentence begins. Forward-backward
-    over the sites of each paragraph gives the posteriors. Blank lines always part sentences; in Thai so does a space that
-    touches no digit, Latin letter or repetition mark. Marks inside a closed quotation or bracket, decimal points, dotted
+    over the sites of each paragraph gives the posteriors. Thai spaces are sites like marks; whether they touch a digit, Latin
+    letter or repetition mark is their strongest evidence. Blank lines always part sentences. Marks inside a closed quotation or bracket, decimal points, dotted
     abbreviations and list numbers are no sites. A paragraph without sites is one sentence. Null, empty and blank texts
     give no row; texts of any length are read whole; repeated rows give repeated sentences; an empty table gives no row.
     """
@@ -385,39 +449,50 @@ def split_sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total: dict[str, Counter] = {w: Counter() for w in (*STATISTICS, "ends")}
+            total: dict[str, Counter] = {w: Counter() for w in ("left", "after", "inside", "pairs")}
+            ends: Counter = Counter()
             packed = []
             for t in batch["text"]:
                 sites, sure, starts = find_sites(t)
                 total["after"].update(w[:24] for w in starts)
                 total["inside"].update(mid_words(t))
-                for s in sites:
-                    total["left"][s[2]] += 1
-                    total["ends"][s[2]] += s[4] == "<end>"
-                    if s[2][0] != "*" and s[2].find("\t") <= 5:
-                        total["pairs"][f"{s[2]}\t{s[4]}"] += 1
+                total["left"].update([s[2] for s in sites])
+                ends.update([s[2] for s in sites if s[4] == "<end>"])
+                total["pairs"].update([f"{s[2]}\t{s[4]}" for s in sites if s[4] != "<end>"])
                 packed.append(marshal.dumps(([edge(t, c) for c in (0, len(t), *sure)], [(s[0], edge(t, s[1]), *s[2:]) for s in sites])))
-            counted = [(w, k, n, total["ends"][k] if w == "left" else 0) for w in STATISTICS for k, n in total[w].items()]
+            counted = count_events(total, ends)
             yield pd.DataFrame(
                 {
-                    "what": ["text"] * len(packed) + [c[0] for c in counted], "k": [None] * len(packed) + [c[1] for c in counted],
+                    "what": ["text"] * len(packed) + [c[0] for c in counted], "k": [0] * len(packed) + [c[1] for c in counted],
                     "n": [0] * len(packed) + [c[2] for c in counted], "e": [0] * len(packed) + [c[3] for c in counted],
-                    "key": pd.Series([*batch["key"].tolist(), *[None] * len(counted)], dtype="object"), "packed": [*packed, *[None] * len(counted)],
+                    "key": pd.Series([*batch["key"].tolist(), *[None] * len(counted)], dtype="object"), "packed": pd.Series([*packed, *[None] * len(counted)], dtype="object"),
                 }
             )
 
     # one pass over the texts: their sites and what they add to the statistics
-    parsed = durable(rows.mapInPandas(parse, f"what string, k string, n long, e long, key {kind}, packed binary"))
-    counts = durable(parsed.where("what <> 'text'").groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")))
-    # every type counts, in its own statistics and in those of its class and shape: the driver holds the corpus' vocabulary
-    left: dict[str, tuple[float, float]] = {}
-    first: dict[str, dict[str, float]] = {w: {} for w in STATISTICS}
-    for r in counts.orderBy("what", F.desc("n"), "k").toLocalIterator():
-        if r["what"] == "left":
-            left[r["k"]] = (float(r["n"]), float(r["e"]))
-        else:
-            first[r["what"]][r["k"]] = float(r["n"])
-    model = df.sparkSession.sparkContext.broadcast(BoundaryModel(left, first["after"], first["inside"], first["pairs"]))
+    parsed = durable(rows.mapInPandas(parse, f"what string, k long, n long, e long, key {kind}, packed binary"))
+    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def gather(counts: DataFrame) -> None:
+        """Add counts to the tables: at most as many rows as these have places, however large the vocabulary."""
+        for r in counts.groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toLocalIterator():
+            n, e = tables.setdefault(r["what"], (np.zeros(1 << TABLES[r["what"]], dtype=np.float32), np.zeros(1 << TABLES[r["what"]], dtype=np.float32)))
+            n[r["k"]] += r["n"]
+            e[r["k"]] += r["e"]
+
+    gather(parsed.where("what not in ('text', 'pairs')").select("what", "k", F.col("n").cast("double").alias("n"), F.col("e").cast("double").alias("e")))
+    inner = df.sparkSession.sparkContext.broadcast(BoundaryModel(tables).inner)
+
+    def inside_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right, n = batch["k"].to_numpy() >> 32, batch["k"].to_numpy() & 0xFFFFFFFF, batch["n"].to_numpy(dtype=float)
+            within = n * inner.value[left]
+            kept = within > 0
+            for what, k, x in (("pairs", [pair_place(int(a), int(b)) for a, b in zip(left, right)], n), ("inside", right[kept], within[kept]), ("inside_shape", batch["e"].to_numpy()[kept], within[kept])):
+                yield pd.DataFrame({"what": what, "k": pd.Series(k, dtype="int64"), "n": x, "e": 0.0})
+
+    gather(parsed.where("what = 'pairs'").select("k", "n", "e").mapInPandas(inside_words, "what string, k long, n double, e double"))
+    model = df.sparkSession.sparkContext.broadcast(BoundaryModel(tables))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
