@@ -15,10 +15,9 @@ def _raw(s, d):
 
 
 def bm25_query(s, d):
-    raw = _raw(s, d)
-    corpus = h.history_items(raw).select(F.col("record_id").alias("grp"), F.col("pos").cast("long").alias("pos"), F.coalesce(tx.render_item(F.col("item"), F.col("task")), F.lit("")).alias("text"))
-    queries = h.explode_queries(raw).where("input is not null").select(F.col("record_id").alias("grp"), F.col("pos").alias("qid"), F.col("input").alias("text"))
-    return retrieval.bm25_top(corpus, queries, (1, 2, 4))
+    shown = F.transform("history", lambda x: F.when(x.isNotNull(), F.coalesce(tx.render_item(x, F.col("task")), F.lit(""))))
+    rows = _raw(s, d).select("record_id", shown.alias("docs"), F.transform("query", lambda q: q["input"]).alias("queries"))
+    return retrieval.bm25_in_row(rows, "record_id", "docs", "queries", (1, 2, 4))
 
 
 QUERIES = {
