@@ -239,16 +239,17 @@ def find_sites(text: str) -> tuple[list[tuple[int, int, str, str, str, int]], li
     return sites, sure, starts
 
 
-def mid_words(text: str) -> Counter:
-    """Words that surely begin no sentence: those behind another word with only a blank between them, or behind a comma."""
-    found: Counter = Counter()
-    for w, n in Counter(_MID.findall(text)).items():
+def mid_words(found: Counter) -> Counter:
+    """Counts of words that surely begin no sentence, from what _MID finds: those behind another word with only a blank between them,
+    or behind a comma."""
+    merged: Counter = Counter()
+    for w, n in found.items():
         if w[-1] == ".":
             w = "<initial>" if len(w) == 2 and w[0].isupper() else w[:-1]
         if w[0].isdigit():
             w = "<9>"
-        found[w[0] if _CJK.match(w) else w[:24]] += n
-    return found
+        merged[w[0] if _CJK.match(w) else w[:24]] += n
+    return merged
 
 
 def place(table: str, key: str) -> int:
@@ -266,30 +267,40 @@ def left_class(key: str) -> str:
     return f"{'letter' if len(kind) == 1 else 'short' if len(kind) <= 5 else 'long'}\t{marks}"
 
 
-def count_events(total: dict[str, Counter], ends: Counter) -> list[tuple[str, int, int, int]]:
-    """Counts of types as counts of places (`table`, `place`, `n`, `e`): those of their classes and shapes are added."""
+def count_events(sites: Counter, after: Counter, inside: Counter) -> list[tuple[str, int, int, int]]:
+    """Counts of places (`table`, `place`, `n`, `e`) from those of sites (left type, right word), of words at paragraph starts and
+    behind words; those of classes and shapes are added."""
+    left: dict[str, list[int]] = {}
+    pairs: list[tuple[str, int, int, int]] = []
+    shapes: dict[str, tuple[int, int]] = {}
+    for (kind, right), n in sites.items():
+        c = left.get(kind)
+        if c is None:
+            c = left[kind] = [0, 0, place("left", kind)]
+        c[0] += n
+        if right == "<end>":
+            c[1] += n
+            continue
+        if right not in shapes:
+            shapes[right] = place("inside", right), place("inside_shape", shape(right))
+        # pairs keep both places, and that of the right word's shape
+        pairs.append(("pairs", c[2] << 32 | shapes[right][0], n, shapes[right][1]))
     found: dict[tuple[str, int], list[int]] = {}
 
-    def add(table: str, key: str, n: int, e: int = 0) -> None:
-        c = found.setdefault((table, place(table, key)), [0, 0])
+    def add(table: str, at: int, n: int, e: int = 0) -> None:
+        c = found.setdefault((table, at), [0, 0])
         c[0] += n
         c[1] += e
 
-    for key, n in total["left"].items():
-        e = ends[key]
-        add("left", key, n, e)
-        add("class", left_class(key), n, e)
-        add("marks", key.partition("\t")[2], n, e)
-    for table in ("after", "inside"):
-        for w, n in total[table].items():
-            add(table, w, n)
-            add(f"{table}_shape", shape(w), n)
-    out = [(t, k, n, e) for (t, k), (n, e) in found.items()]
-    # pairs keep both places, and that of the right word's shape
-    for key, n in total["pairs"].items():
-        left, _, right = key.rpartition("\t")
-        out.append(("pairs", place("left", left) << 32 | place("inside", right), n, place("inside_shape", shape(right))))
-    return out
+    for kind, (n, e, at) in left.items():
+        add("left", at, n, e)
+        add("class", place("class", left_class(kind)), n, e)
+        add("marks", place("marks", kind.partition("\t")[2]), n, e)
+    for table, words in (("after", after), ("inside", inside)):
+        for w, n in words.items():
+            add(table, place(table, w), n)
+            add(f"{table}_shape", place(f"{table}_shape", shape(w)), n)
+    return [(t, k, n, e) for (t, k), (n, e) in found.items()] + pairs
 
 
 def pair_place(left: int, right: int) -> int:
@@ -449,18 +460,15 @@ def split_sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total: dict[str, Counter] = {w: Counter() for w in ("left", "after", "inside", "pairs")}
-            ends: Counter = Counter()
+            seen, after, inside = Counter(), Counter(), Counter()
             packed = []
             for t in batch["text"]:
                 sites, sure, starts = find_sites(t)
-                total["after"].update(w[:24] for w in starts)
-                total["inside"].update(mid_words(t))
-                total["left"].update([s[2] for s in sites])
-                ends.update([s[2] for s in sites if s[4] == "<end>"])
-                total["pairs"].update([f"{s[2]}\t{s[4]}" for s in sites if s[4] != "<end>"])
+                after.update([w[:24] for w in starts])
+                inside.update(_MID.findall(t))
+                seen.update([(x[2], x[4]) for x in sites])
                 packed.append(marshal.dumps(([edge(t, c) for c in (0, len(t), *sure)], [(s[0], edge(t, s[1]), *s[2:]) for s in sites])))
-            counted = count_events(total, ends)
+            counted = count_events(seen, after, mid_words(inside))
             yield pd.DataFrame(
                 {
                     "what": ["text"] * len(packed) + [c[0] for c in counted], "k": [0] * len(packed) + [c[1] for c in counted],
@@ -475,10 +483,11 @@ def split_sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     def gather(counts: DataFrame) -> None:
         """Add counts to the tables: at most as many rows as these have places, however large the vocabulary."""
-        for r in counts.groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toLocalIterator():
-            n, e = tables.setdefault(r["what"], (np.zeros(1 << TABLES[r["what"]], dtype=np.float32), np.zeros(1 << TABLES[r["what"]], dtype=np.float32)))
-            n[r["k"]] += r["n"]
-            e[r["k"]] += r["e"]
+        found = counts.groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toArrow().to_pandas()
+        for what, rows_ in found.groupby("what"):
+            n, e = tables.setdefault(what, (np.zeros(1 << TABLES[what], dtype=np.float32), np.zeros(1 << TABLES[what], dtype=np.float32)))
+            n[rows_["k"].to_numpy()] += rows_["n"].to_numpy()
+            e[rows_["k"].to_numpy()] += rows_["e"].to_numpy()
 
     gather(parsed.where("what not in ('text', 'pairs')").select("what", "k", F.col("n").cast("double").alias("n"), F.col("e").cast("double").alias("e")))
     inner = df.sparkSession.sparkContext.broadcast(BoundaryModel(tables).inner)
