@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Words of numbers.
+SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+GROUPS = ["", "thousand", "million", "billion", "trillion", "quadrillion"]
+
+
 def boxed_answer(text: str | None) -> str | None:
     r"""Content of the last \boxed{…} with balanced braces, else what follows the last "answer is"; null if neither."""
     if text is None:
@@ -109,6 +115,59 @@ def meteor(a: str | None, b: str | None) -> float:
     return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
 
+def _below_thousand(n: int) -> str:
+    """Words of a number under a thousand."""
+    if n < 20:
+        return SMALL[n]
+    if n < 100:
+        return TENS[n // 10 - 2] + (f"-{SMALL[n % 10]}" if n % 10 else "")
+    return f"{SMALL[n // 100]} hundred" + (f" and {_below_thousand(n % 100)}" if n % 100 else "")
+
+
+def words_of_number(text: str | None) -> str | None:
+    """A whole number in words ("one hundred and five"); null for other texts and for a thousand quadrillions and more."""
+    if text is None or not re.fullmatch(r"\s*[+-]?[0-9]{1,18}\s*", text):
+        return None
+    n = int(text)
+    parts, rest, group = [], abs(n), 0
+    while rest:
+        rest, low = divmod(rest, 1000)
+        if low:
+            parts.append((_below_thousand(low) + (f" {GROUPS[group]}" if group else ""), low, group))
+        group += 1
+    words = [w for w, _, _ in reversed(parts)]
+    # a last group under a hundred is joined by "and"
+    tail = len(parts) > 1 and parts[0][2] == 0 and parts[0][1] < 100
+    shown = (", ".join(words[:-1]) + f" and {words[-1]}") if tail else ", ".join(words)
+    return ("minus " if n < 0 else "") + (shown or SMALL[0])
+
+
+def rouge_l(a: str | None, b: str | None) -> float:
+    """ROUGE-L F of two texts by their runs of letters a-z and digits, in lower case; 0 where one has none."""
+    x, y = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (a, b))
+    if not x or not y:
+        return 0.0
+    place: dict[str, int] = {}
+    for i, w in enumerate(x):
+        place[w] = place.get(w, 0) | 1 << i
+    full = row = (1 << len(x)) - 1
+    for w in y:
+        hit = row & place.get(w, 0)
+        row = (row + hit | row - hit) & full
+    n = len(x) - row.bit_count()
+    return 2 * n / (len(x) + len(y))
+
+
+@F.pandas_udf(T.StringType())
+def number_words(text: pd.Series) -> pd.Series:
+    return text.map(words_of_number, na_action="ignore")
+
+
+@F.pandas_udf(T.DoubleType())
+def rouge_scores(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([rouge_l(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 @F.pandas_udf(T.StringType())
 def boxed_answers(text: pd.Series) -> pd.Series:
     return text.map(boxed_answer, na_action="ignore")

@@ -12,10 +12,10 @@ RETRIEVAL_KS = (1, 2, 4, 8, 12, 16, 32)
 PROFILE_HEADING, HISTORY_HEADING, STATISTICS_HEADING = "## User Profile:\n", "## User History:\n", "\n\n## User History Statistics:\n"
 
 #: The wording of problems by format.
-QUESTION, OPTIONS = "Question:", "\nOptions:\n"
-ASK_LETTER = "\nPlease provide the answer to this question directly (a single letter):"
-ASK_TRUTH = "\nPlease provide the answer to this question directly (True or False):"
-ASK_ANSWER = "\nPlease provide the answer to this question:"
+QUESTION, OPTIONS, ASK_LETTER = "Question:", "\nOptions:\n", "\nPlease provide the answer to this question directly (a single letter):"
+STATEMENT, ASK_TRUTH = "Statement:", "Please give the answer directly (true or false):"
+ANSWER = "Answer:"
+SUBJECTIVE, ASK_BRIEF = "This is a subjective question:", "Please provide a brief answer to this question:"
 
 
 def profile_section(kind: str, profile: Column, history: Column, statistics: Column | None = None, retrieved: dict[int, Column] | None = None, k: int | None = None) -> Column:
@@ -53,13 +53,13 @@ def last_said(turns: Column, role: str = "user") -> Column:
 
 
 def problem_prompt(question: Column, kind: Column, choices: Column) -> Column:
-    """A problem's prompt by its format: multiple choice lists its options (a map from letter to text), others ask for an answer."""
+    """A problem's prompt by its format: multiple choice lists its options (a map from letter to text); null for an unknown format."""
     options = F.array_join(F.transform(F.array_sort(F.map_entries(choices)), lambda e: F.concat(F.lit("("), e["key"], F.lit(")"), e["value"])), "\n")
-    asked = F.concat(F.lit(QUESTION), question)
     return (
-        F.when(kind == "Multiple-choice", F.concat(asked, F.lit(OPTIONS), options, F.lit(ASK_LETTER)))
-        .when(kind == "Assertion", F.concat(asked, F.lit(ASK_TRUTH)))
-        .otherwise(F.concat(asked, F.lit(ASK_ANSWER)))
+        F.when(kind == "Multiple-choice", F.concat(F.lit(QUESTION), question, F.lit(OPTIONS), options, F.lit(ASK_LETTER)))
+        .when(kind == "Assertion", F.concat(F.lit(STATEMENT), question, F.lit(ASK_TRUTH)))
+        .when(kind == "Fill-in-the-blank", F.concat(F.lit(QUESTION), question, F.lit(ANSWER)))
+        .when(kind == "Open-ended", F.concat(F.lit(SUBJECTIVE), question, F.lit(ASK_BRIEF)))
     )
 
 

@@ -38,10 +38,13 @@ def classification_scores(df: DataFrame, predicted: Column, target: Column) -> D
 
 def grouped_accuracy(df: DataFrame, correct: str, *dims: str) -> DataFrame:
     """Accuracy in total and by each dimension alone, in one pass (`metric`, `n`, `acc`)."""
-    sets = ", ".join(["()", *[f"({d})" for d in dims]])
-    df.createOrReplaceTempView("_graded")
-    name = " ".join(f"when grouping({d}) = 0 then lower(replace(concat('acc_{d}_', coalesce({d}, 'none')), ' ', '_'))" for d in dims)
-    return df.sparkSession.sql(f"select case {name} else 'acc_total' end as metric, count(*) as n, avg(cast({correct} as double)) as acc from _graded group by grouping sets ({sets})")
+    columns = [F.col(d) for d in dims]
+    name = F.lit("acc_total")
+    for d in dims:
+        own = F.lower(F.replace(F.concat(F.lit(f"acc_{d}_"), F.coalesce(F.col(d), F.lit("none"))), F.lit(" "), F.lit("_")))
+        name = F.when(F.grouping(d) == 0, own).otherwise(name)
+    sets = df.groupingSets([[], *[[c] for c in columns]], *columns)
+    return sets.agg(name.alias("metric"), F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("double")).alias("acc")).select("metric", "n", "acc")
 
 
 def pass_at_k(df: DataFrame, task: str, ok: str, ks: tuple[int, ...] = (1, 10, 100)) -> DataFrame:

@@ -54,6 +54,10 @@ TOPS = {"history": "history", "query": "query", "conversations": "conversations"
 BELOW = {"query.input": ("query", "input", False), "conversations.conversation_history": ("conversations", "conversation_history", True)}
 
 
+#: Fields that are read as numbers; all others as text.
+NUMERIC = {"score": "double"}
+
+
 def payload_rows(df: DataFrame, path: str, payload: str = "payload", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """The rows of one target table: one per array element of that path that is an object (`path`, `parent_pos`, `pos`, `node`).
 
@@ -115,11 +119,11 @@ def flat_conversations(records: DataFrame) -> DataFrame:
 
 def flat_turns(records: DataFrame) -> DataFrame:
     """Turns under their conversation (`parent_pos`), both layouts: role and content, or user and assistant answers."""
-    return _flat_payload(records, "conversations.conversation_history", ("turn", "role", "content", "score", "if_chosen", "model_name", "user", "chosen", "assistant.preferred", "assistant.rejected"))
+    return _flat_payload(records, "conversations.conversation_history", ("turn", "role", "content", "score", "if_chosen", "model_name", "user", "chosen", "assistant.preferred", "assistant.rejected"), numeric=True)
 
 
-def _flat_payload(records: DataFrame, path: str, fields: tuple[str, ...]) -> DataFrame:
-    picked = [f"try_variant_get(node, '$.{f}', 'string') as `{f.replace('.', '_')}`" for f in fields]
+def _flat_payload(records: DataFrame, path: str, fields: tuple[str, ...], numeric: bool = False) -> DataFrame:
+    picked = [f"try_variant_get(node, '$.{f}', '{NUMERIC.get(f, 'string') if numeric else 'string'}') as `{f.replace('.', '_')}`" for f in fields]
     return payload_rows(records, path).selectExpr("record_id", "user_id", "parent_pos", "pos", *picked)
 
 

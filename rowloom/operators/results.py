@@ -45,10 +45,23 @@ def instruction(sample: str = "sample") -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(sample, f"$.{f}")), F.lit("")) for f in fields], F.lit(""))
 
 
+#: Kinds of database tasks that are reported.
+STATEMENT_KINDS = ["other", "counting", "comparison", "ranking", "aggregation-SUM", "aggregation-MIN", "aggregation-MAX", "aggregation-AVG", "SELECT", "INSERT", "UPDATE"]
+
+
 def statement_accuracy(df: DataFrame, kind: str = "type", correct: str = "correct") -> DataFrame:
-    """Accuracy by kind of SQL statement; whatever neither inserts nor updates also counts as a query; `overall` is over all."""
-    kinds = F.array(F.when(F.col(kind).isin("INSERT", "UPDATE"), F.col(kind)).otherwise(F.lit("SELECT")), F.lit("overall"))
-    return df.select(F.explode(kinds).alias("bucket"), F.coalesce(F.col(correct), F.lit(False)).alias("ok")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("acc"))
+    """Accuracy by kind of database task (`bucket`, `n`, `acc`), every known kind with a row, 0 without tasks.
+
+    SELECT takes every task that neither inserts nor updates, so a counting task counts twice; `overall` is over SELECT,
+    INSERT and UPDATE. A null result is a wrong one, a null kind a query.
+    """
+    k = F.coalesce(F.col(kind), F.lit(""))
+    writes = k.isin("INSERT", "UPDATE")
+    own = F.when(k.isin(*[x for x in STATEMENT_KINDS if x != "SELECT"]), k)
+    buckets = F.filter(F.array(own, F.when(~writes, F.lit("SELECT")), F.lit("overall")), lambda b: b.isNotNull())
+    found = df.select(F.explode(buckets).alias("bucket"), F.coalesce(F.col(correct), F.lit(False)).alias("ok")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("acc"))
+    every = df.sparkSession.createDataFrame([(b,) for b in (*STATEMENT_KINDS, "overall")], "bucket string")
+    return every.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("acc", F.lit(0.0)).alias("acc"))
 
 
 def same_rows(answer: Column, target: Column) -> Column:

@@ -83,3 +83,37 @@ ORACLE = {
         UNION ALL SELECT record_id, path, CAST(-1 AS BIGINT), CAST(pos AS BIGINT) FROM level1
         UNION ALL SELECT record_id, path, CAST(parent_pos AS BIGINT), CAST(pos AS BIGINT) FROM level2""",
 }
+
+_TYPED = "SELECT record_id, user_id, CAST(-1 AS BIGINT) AS parent_pos, CAST(i - 1 AS BIGINT) AS pos, {fields} FROM (SELECT record_id, user_id, {a} AS a, unnest(range(1, len({a}) + 1)) AS i FROM raw_user_history) WHERE a[i] IS NOT NULL"
+
+
+def _elements(value: str, as_text: bool = True) -> str:
+    """SQL for the elements of a JSON value: an array's own, a lone object as one, an array written as text (if wanted)."""
+    text = f" WHEN json_type({value}) = 'VARCHAR' AND json_valid({value} ->> '$') AND json_type({value} ->> '$') = 'ARRAY' THEN CAST({value} ->> '$' AS JSON)" if as_text else ""
+    return f"CASE WHEN json_type({value}) = 'OBJECT' THEN json_array({value}) WHEN json_type({value}) = 'ARRAY' THEN {value}{text} ELSE CAST('[]' AS JSON) END"
+
+
+def _table(path: str, fields: tuple[str, ...]) -> str:
+    """SQL for one target table of the payloads."""
+    top, field, as_text = nested.BELOW.get(path, (path, "", True))
+    good = "good AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')"
+    walk = f"""{good}, ta AS (SELECT record_id, p ->> '$.user_id' AS user_id, {_elements(f"(p -> '$.{top}')")} AS a FROM good),
+        te AS (SELECT * FROM (SELECT record_id, user_id, CAST(-1 AS BIGINT) AS parent_pos, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS pos, unnest(CAST(a AS JSON[])) AS e FROM ta) WHERE json_type(e) = 'OBJECT')"""
+    last = "te"
+    if path in nested.BELOW:
+        last = "be"
+        walk += f""", ba AS (SELECT record_id, user_id, pos AS parent_pos, {_elements(f"(e -> '$.{field}')", as_text)} AS a FROM te),
+        be AS (SELECT * FROM (SELECT record_id, user_id, parent_pos, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS pos, unnest(CAST(a AS JSON[])) AS e FROM ba) WHERE json_type(e) = 'OBJECT')"""
+    picked = ", ".join(f"{f'try_cast(e ->> {chr(39)}$.{f}{chr(39)} AS DOUBLE)' if path.endswith('conversation_history') and f in nested.NUMERIC else f'e ->> {chr(39)}$.{f}{chr(39)}'} AS \"{f.replace('.', '_')}\"" for f in fields)
+    return f"WITH {walk} SELECT record_id, user_id, parent_pos, pos, {picked} FROM {last}"
+
+
+_HISTORY = ("id", "text", "article", "title", "category", "description", "tag", "citation", "score", "overall", "summary", "reviewText", "abstract", "content")
+_named = lambda fields: ", ".join(f'a[i].{f} AS "{f}"' for f in fields)
+
+ORACLE |= {
+    "p5_history": f"SELECT * FROM ({_TYPED.format(a='history', fields=_named(_HISTORY))}) UNION ALL SELECT * FROM ({_table('history', _HISTORY)})",
+    "p5_query_input": _table("query.input", ("role", "content")),
+    "p5_conversations": _table("conversations", ("conversation_id", "conversation_type", "opening_prompt", "conversation_turns")),
+    "p5_turns": _table("conversations.conversation_history", ("turn", "role", "content", "score", "if_chosen", "model_name", "user", "chosen", "assistant.preferred", "assistant.rejected")),
+}

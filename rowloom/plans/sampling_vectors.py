@@ -9,6 +9,7 @@ from rowloom.functions import vectors as v
 from rowloom.operators import conversations as c
 from rowloom.operators import history as h
 from rowloom.operators import nested, sampling
+from rowloom.plans.curation import _CONV
 from rowloom.sources.tables import read_table
 
 
@@ -204,3 +205,20 @@ ORACLE = {
         WITH q AS (SELECT record_id, query[i] AS q FROM (SELECT *, unnest(range(1, len(query) + 1)) AS i FROM raw_user_history) WHERE query[i] IS NOT NULL), b AS (SELECT record_id, coalesce(nullif(trim(q.gold, ' ' || chr(9) || chr(10) || chr(13)), ''), nullif(trim(q.output, ' ' || chr(9) || chr(10) || chr(13)), '')) AS g FROM q)
         SELECT record_id, count(*) AS n_queries, count(g) AS n_gold FROM b GROUP BY 1""",
 }
+
+_NB = "nullif(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '')"
+ORACLE |= {
+    "q_chosen_turn_filter": f"""
+        WITH {_CONV} SELECT record_id, conversation, pos, try_cast(e ->> '$.score' AS DOUBLE) AS score, lower(e ->> '$.model_name') AS model_name FROM tu
+        WHERE e ->> '$.role' = 'model' AND e ->> '$.if_chosen' = 'true' AND coalesce(try_cast(e ->> '$.score' AS DOUBLE) >= 50, true) AND contains(lower(coalesce(e ->> '$.model_name', '')), 'gpt')""",
+    "q_dialogue_render": f"""
+        WITH {_CONV}, l AS (SELECT record_id, conversation, pos, e ->> '$.role' AS role, {_NB.format("(e ->> '$.content')")} AS c FROM tu)
+        SELECT record_id, conversation, string_agg(role || ': ' || c, chr(10) || chr(10) ORDER BY pos) AS dialogue FROM l WHERE role IS NOT NULL AND c IS NOT NULL GROUP BY ALL""",
+    "q_conversation_prefix": f"""
+        WITH {_CONV}, w AS (SELECT record_id, conversation, pos, {_NB.format("(e ->> '$.user')")} AS said, {_NB.format("(e ->> '$.assistant.preferred')")} AS pr, {_NB.format("(e ->> '$.assistant.rejected')")} AS re, e ->> '$.chosen' AS chosen FROM tu
+            WHERE e ->> '$.user' IS NOT NULL OR e ->> '$.assistant.preferred' IS NOT NULL),
+        l AS (SELECT record_id, conversation, pos, 0 AS k, 'User: ' || said AS line FROM w UNION ALL
+            SELECT record_id, conversation, pos, 1, 'Assistant: ' || coalesce(CASE WHEN chosen = 'rejected' THEN re WHEN chosen = 'preferred' THEN pr END, pr, re) FROM w)
+        SELECT w.record_id, w.conversation, w.pos, count(l.line) AS n_before, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos, l.k) || chr(10), '') || 'User: ' || any_value(w.said) AS input, any_value(w.pr) AS output
+        FROM w LEFT JOIN l ON l.record_id = w.record_id AND l.conversation = w.conversation AND l.pos < w.pos AND l.line IS NOT NULL WHERE w.said IS NOT NULL AND w.pr IS NOT NULL GROUP BY w.record_id, w.conversation, w.pos""",
+}
