@@ -51,6 +51,47 @@ def quantile_bins(df: DataFrame, length: str, bins: int = 10) -> DataFrame:
     return df.withColumn("inner", inner).withColumn("bin", F.size(F.filter("inner", lambda x: x < F.log1p(F.col(length))))).drop("inner")
 
 
+def allocate(train: list[int], there: list[int], n: int) -> list[int]:
+    """How many to take of each bin so that bins hold the training set's shares: rounded to even, corrected in the order of the
+    remainders, never more than are there; what is missing comes from the bins with the most to spare."""
+    share = np.array(train, dtype=float) / max(1, sum(train))
+    exact = share * n
+    want = np.round(exact).astype(int)
+    rest = exact - np.floor(exact)
+    gap = n - int(want.sum())
+    for i in (np.argsort(rest, kind="stable")[::-1] if gap > 0 else np.argsort(rest, kind="stable"))[: abs(gap)]:
+        want[i] += 1 if gap > 0 else -1
+    take = np.minimum(want, there)
+    left = n - int(take.sum())
+    spare = np.array(there) - take
+    for b in sorted(range(len(take)), key=lambda b: -spare[b]):
+        more = min(left, int(spare[b]))
+        take[b] += more
+        left -= more
+        if left <= 0:
+            break
+    return [int(t) for t in take]
+
+
+def matched_sample(train: DataFrame, candidates: DataFrame, n: int, length: str, key: str, bins: int = 10, seed: int = 42) -> DataFrame:
+    """n candidates whose lengths are distributed like those of the training rows: bins by the training set's quantiles in log space.
+
+    The driver sees the counts of the bins only. An empty training set gives any n candidates, by digest.
+    """
+    at = [i / bins for i in range(bins + 1)]
+    edges = train.agg(F.percentile(F.log1p(F.col(length)), F.array(*[F.lit(x) for x in at])).alias("e")).first()["e"]
+    rising: list[float] = []
+    for x in edges or []:
+        rising.append(max(x, rising[-1] + 1e-6) if rising else x)
+    inner = F.array(*[F.lit(x) for x in rising[1:-1]]) if rising else F.array().cast("array<double>")
+    place = lambda df: df.withColumn("bucket", F.size(F.filter(inner, lambda x: x < F.log1p(F.col(length)))))
+    counts = lambda df: {r["bucket"]: r["count"] for r in place(df).groupBy("bucket").count().collect()}
+    own, there = counts(train), counts(candidates)
+    take = allocate([own.get(b, 0) for b in range(bins)], [there.get(b, 0) for b in range(bins)], n)
+    takes = train.sparkSession.createDataFrame(list(enumerate(take)), "bucket int, take long")
+    return pick_by_bucket(place(candidates), takes, key, seed)
+
+
 def user_counts(df: DataFrame, user: str = "user_id") -> DataFrame:
     return df.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,11 +112,18 @@ def overlap_audit(rows: DataFrame, split: str, *parts: Column) -> DataFrame:
     return pairs.groupBy("p.split_a", "p.split_b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-def sampling_weights(sizes: DataFrame, size: str = "n") -> DataFrame:
-    """Weights of datasets by root of size, none under a tenth of the largest; they sum to one."""
-    root = sizes.withColumn("w", F.sqrt(F.col(size)))
-    floored = root.withColumn("w", F.greatest("w", 0.1 * F.max("w").over(Window.partitionBy())))
-    return floored.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy())).drop("w")
+def sampling_weights(sizes: DataFrame, size: str = "n", strategy: str = "sqrt_size") -> DataFrame:
+    """Weights of datasets, none under a tenth of the largest; they sum to one.
+
+    `uniform`, `size`, `sqrt_size` or `inv_size`; an unknown strategy raises. One row per dataset.
+    """
+    n = F.col(size).cast("double")
+    every = Window.partitionBy()
+    raw = {"uniform": F.lit(1.0), "size": n, "sqrt_size": F.sqrt(n), "inv_size": F.max(n).over(every) / n}
+    if strategy not in raw:
+        raise ValueError(f"unknown sampling strategy: {strategy!r}")
+    floored = sizes.withColumn("w", raw[strategy]).withColumn("w", F.greatest("w", 0.1 * F.max("w").over(every)))
+    return floored.withColumn("weight", F.col("w") / F.sum("w").over(every)).drop("w")
 
 
 def proportional_sizes(sizes: DataFrame, share: float) -> DataFrame:
@@ -115,21 +163,35 @@ def farthest_first(vectors: DataFrame, k: int, vector: str = "embedding", key: s
     return vectors.sparkSession.createDataFrame(chosen or [], f"{key} long, rank int")
 
 
-def kmeans_ood_split(vectors: DataFrame, n_test: int, candidates: tuple[int, ...] = (5, 8, 11, 14), least: int = 5, seed: int = 42, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def cluster_counts(n: int) -> list[int]:
+    """Numbers of clusters worth a look for n vectors, in some ten steps."""
+    low, high = max(5, min(10, n // 100)), min(50, max(20, n // 50))
+    return sorted({*range(low, high + 1, max(1, (high - low) // 10)), high})
+
+
+def coarse_cluster_counts(n: int) -> list[int]:
+    """The same for small sets: every number from a twentieth (2 to 10) to a fifth (20 at most)."""
+    return list(range(max(2, min(10, n // 20)), min(20, n // 5) + 1))
+
+
+def kmeans_ood_split(vectors: DataFrame, n_test: int, candidates: tuple[int, ...] | None = None, least: int = 5, seed: int = 42, vector: str = "embedding", key: str = "vec_id", half: bool = False) -> DataFrame:
     """Out-of-distribution split (`key`, `cluster`, `split`): whole outlying clusters become the test set.
 
-    The number of clusters is the candidate with the best silhouette. Clusters rank by mean distance of their centre to the
+    The number of clusters is the candidate with the best silhouette; `cluster_counts` proposes about twenty for a table's size. Clusters rank by mean distance of their centre to the
     others over one plus their size; those with `least` members or more fill the quota, the last with its furthest members,
-    and the other members of a touched cluster are left out of training.
+    and the other members of a touched cluster are left out of training. With `half`, at most half of a cluster is taken, by
+    digest, and the others train.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    data = durable(vectors.select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
     best = None
     n = data.count()
-    for k in [c for c in candidates if c < n] or [min(2, n)]:
+    if n <= n_test:  # no more users than are wanted: all of them are tested
+        return data.select(F.col("key").alias(key), F.lit(0).alias("cluster"), F.lit("ood_test").alias("split"))
+    for k in [c for c in candidates or cluster_counts(n) if c < n] or [min(2, n)]:
         model = KMeans(k=k, seed=seed, initSteps=5).fit(data)
         score = ClusteringEvaluator().evaluate(model.transform(data)) if k > 1 else 0.0
         if best is None or score > best[0]:
@@ -143,14 +205,18 @@ def kmeans_ood_split(vectors: DataFrame, n_test: int, candidates: tuple[int, ...
     for c in order:
         if left <= 0:
             break
-        takes.append((int(c), min(left, sizes[c])))
-        left -= sizes[c]
+        takes.append((int(c), min(left, sizes[c] // 2 if half else sizes[c])))
+        left -= takes[-1][1]
     spark = vectors.sparkSession
     quota = spark.createDataFrame(takes or [(-1, 0)], "cluster int, take long")
     middle = spark.createDataFrame([(int(c), [float(x) for x in centres[c]]) for c in range(len(centres))], "cluster int, centre array<double>")
     from pyspark.ml.functions import vector_to_array
 
     far = placed.join(F.broadcast(middle), "cluster").withColumn("d", distance(vector_to_array("features"), F.col("centre")))
-    ranked = far.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("d"), "key"))).join(F.broadcast(quota), "cluster", "left")
-    split = F.when(F.col("take").isNull(), "train").when(F.col("r") <= F.col("take"), "ood_test").otherwise("left_out")
+    # only clusters of which a part is taken are ranked; whole ones are taken as they are
+    counted = far.join(F.broadcast(quota), "cluster", "left").join(F.broadcast(spark.createDataFrame([(int(c), n) for c, n in sizes.items()], "cluster int, size long")), "cluster")
+    order = [hash_order("key", seed=seed)] if half else [F.desc("d")]
+    cut = counted.where("take < size").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order, "key")))
+    ranked = cut.unionByName(counted.where("take is null or take >= size").withColumn("r", F.lit(0)))
+    split = F.when(F.col("take").isNull(), "train").when(F.col("r") <= F.col("take"), "ood_test").otherwise("train" if half else "left_out")
     return ranked.select(F.col("key").alias(key), F.col("cluster"), split.alias("split"))

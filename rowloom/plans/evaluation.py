@@ -94,9 +94,10 @@ def outer_merge(s, d):
 
 
 def lookup_coalesce(s, d):
-    """Samples without a user get it by their question, the first user of it."""
-    by_question = _items(s, d).where("question_id is not null and user_id is not null").groupBy(F.lower(F.trim("question_id")).alias("q")).agg(F.min(F.lower(F.trim("user_id"))).alias("found"))
-    rows = read_table(s, d, "text_generation_sample").select("sample_id", F.lower(F.trim("user_id")).alias("u"), F.lower(F.trim("question_id")).alias("q"))
+    """Samples without a user get it by their question; of a question's users the last counts."""
+    q, u = F.lower(F.trim("question_id")), F.lower(F.trim("user_id"))
+    by_question = _items(s, d).where("question_id is not null and user_id is not null").groupBy(q.alias("q")).agg(F.max_by(u, "sample_idx").alias("found"))
+    rows = read_table(s, d, "text_generation_sample").select("sample_id", u.alias("u"), q.alias("q"))
     return rows.join(by_question, "q", "left").select("sample_id", F.coalesce(F.nullif("u", F.lit("")), "found").alias("user_id"))
 
 
@@ -122,7 +123,8 @@ def prompt_template(s, d):
     """Prompts of the evaluation records: the task's template with the input filled in, the prefill behind it."""
     config = read_table(s, d, "task_config").where("user_prompt_template is not null").select(F.col("source").alias("src"), F.col("split").alias("spl"), "task_name", "user_prompt_template", F.coalesce("assistant_prefill", F.lit("")).alias("prefill"))
     rows = _items(s, d).where("split <> 'train' and input is not null").select("sample_idx", "source", "split", "input")
-    joined = rows.join(F.broadcast(config), (F.col("source") == F.col("src")) & (F.col("split") == F.col("spl")))  # a fixed dimension of tasks
+    few = config.count() <= 10_000
+    joined = rows.join(F.broadcast(config) if few else config, (F.col("source") == F.col("src")) & (F.col("split") == F.col("spl")))
     return joined.select("sample_idx", "task_name", F.sha2(F.concat(F.replace("user_prompt_template", F.lit("{input}"), F.col("input")), "prefill"), 256).alias("prompt_digest"))
 
 
@@ -228,7 +230,7 @@ ORACLE = {
         SELECT user_id, train, random_test, ood_test, round(list_avg(list_filter([train, random_test, ood_test], lambda x: x IS NOT NULL)), 4) AS avg_metric
         FROM u FULL OUTER JOIN a USING (user_id) FULL OUTER JOIN b USING (user_id) FULL OUTER JOIN c USING (user_id)""",
     "q_lookup_coalesce_join": """
-        WITH q AS (SELECT lower(trim(question_id)) AS q, min(lower(trim(user_id))) AS found FROM dataset_item WHERE question_id IS NOT NULL AND user_id IS NOT NULL GROUP BY 1)
+        WITH q AS (SELECT lower(trim(question_id)) AS q, arg_max(lower(trim(user_id)), sample_idx) AS found FROM dataset_item WHERE question_id IS NOT NULL AND user_id IS NOT NULL GROUP BY 1)
         SELECT sample_id, coalesce(nullif(lower(trim(user_id)), ''), found) AS user_id FROM text_generation_sample t LEFT JOIN q ON lower(trim(t.question_id)) = q.q""",
     "q_json_extract_pivot": "SELECT event_type, count(props ->> '$.k') AS n, round(avg(CAST(props ->> '$.k' AS DOUBLE)), 6) AS mean_k, max(CAST(props ->> '$.k' AS DOUBLE)) AS max_k FROM events GROUP BY 1",
     "q_placeholder_hash": "SELECT sample_idx, 'random_profile_' || substring(sha256(coalesce(source, '') || ':' || coalesce(profile_text, '')), 1, 16) AS placeholder FROM dataset_item",
@@ -243,13 +245,13 @@ ORACLE = {
         WITH r AS (SELECT DISTINCT split, sha256(concat_ws('|', coalesce(substring(lower(user_id), 1, 50), ''), coalesce(substring(input, 1, 50), ''), coalesce(substring(output, 1, 50), ''))) AS h FROM dataset_item)
         SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_shared FROM r a JOIN r b ON a.h = b.h AND a.split < b.split GROUP BY ALL""",
     "q_answer_extraction": f"""
-        SELECT sample_idx, try_cast(nullif(regexp_extract(output, '(-?[0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS first_number,
-            try_cast(regexp_extract_all(output, '(-?[0-9]+(?:\\.[0-9]+)?)', 1)[-1] AS DOUBLE) AS last_number,
+        SELECT sample_idx, try_cast(replace(nullif(regexp_extract(output, '([0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?)', 1), ''), ',', '') AS DOUBLE) AS first_number,
+            try_cast(regexp_replace(regexp_extract_all(output, '([$€£]?[+-]?[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?)', 1)[-1], '[$€£,]', '', 'g') AS DOUBLE) AS last_number,
             coalesce(CASE WHEN regexp_matches({_STRIP.format('output')}, {_NUM}) THEN try_cast({_STRIP.format('output')} AS DOUBLE) END, try_cast(nullif(regexp_extract(output, '(-?[0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE)) AS numeric,
             nullif(regexp_extract(lower(trim(output, ' :`''"(.)')), '^([a-z0-9])', 1), '') AS choice,
             CASE WHEN contains(lower(output), '1') THEN true WHEN contains(lower(output), '0') THEN false WHEN contains(lower(output), 'yes') THEN true WHEN contains(lower(output), 'no') THEN false WHEN contains(lower(output), 'true') THEN true WHEN contains(lower(output), 'false') THEN false WHEN contains(lower(output), 'positive') THEN true WHEN contains(lower(output), 'negative') THEN false WHEN contains(lower(output), 'valid') THEN true END AS truth,
-            CAST(coalesce(nullif(regexp_extract(output, '(?i)score:\\s*([1-5])', 1), ''), nullif(regexp_extract(output, '(?i)score\\s+([1-5])', 1), ''), nullif(regexp_extract(output, '^\\s*([1-5])\\s*$', 1), ''), nullif(regexp_extract_all(output, '(?:^|[^0-9])([1-5])(?:[^0-9]|$)', 1)[-1], '')) AS INT) AS score,
+            CAST(coalesce(nullif(regexp_extract(output, '(?i)score:\\s*([1-5])', 1), ''), nullif(regexp_extract(output, '(?i)score\\s+([1-5])', 1), ''), nullif(regexp_extract(output, '^\\s*([1-5])\\s*$', 1), ''), nullif(regexp_extract_all(regexp_replace(output, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9])([1-5])(?:[^0-9]|$)', 1)[-1], '')) AS INT) AS score,
             upper(coalesce(nullif(regexp_extract(output, '\\[\\[\\s*([ABCabc])\\s*\\]\\]', 1), ''), nullif(regexp_extract(output, '(?i)\\[RESULT\\]\\s*([ABC])\\b', 1), ''), nullif(regexp_extract(output, '(?i)(?:Result|Winner)\\s*:?\\s*([ABC])\\b', 1), ''), nullif(regexp_extract_all(output, '(?i)(?:^|[^A-Za-z0-9_])([ABC])(?:[^A-Za-z0-9_]|$)', 1)[-1], ''))) AS winner,
             CASE WHEN regexp_matches(w, {_NUM}) THEN try_cast(w AS DOUBLE) END AS worked
-        FROM (SELECT *, regexp_replace(regexp_extract_all(output, '(-?[$0-9.,]{{2,}}|-?[0-9]+)', 1)[-1], '[$,]|\\.$', '', 'g') AS w FROM dataset_item WHERE output IS NOT NULL)""",
+        FROM (SELECT *, replace(trim(regexp_extract_all(output, '(-?[$0-9.,]{{2,}}|-?[0-9]+)', 1)[-1], '$.'), ',', '') AS w FROM dataset_item WHERE output IS NOT NULL)""",
 }

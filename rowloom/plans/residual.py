@@ -42,7 +42,7 @@ def draws(s, d):
 
 
 def statements(s, d):
-    rows = _items(s, d).select(F.element_at(F.array(F.lit("INSERT"), F.lit("UPDATE"), F.lit("SELECT"), F.lit("other")), (F.pmod("sample_idx", F.lit(4)) + 1).cast("int")).alias("type"), (F.length("output") > 20).alias("correct"))
+    rows = _items(s, d).select(F.element_at(F.array(F.lit("INSERT"), F.lit("UPDATE"), F.lit("SELECT"), F.lit("counting")), (F.pmod("sample_idx", F.lit(4)) + 1).cast("int")).alias("type"), (F.length("output") > 20).alias("correct"))
     return results.statement_accuracy(rows).select("bucket", "n", F.round("acc", 6).alias("acc"))
 
 
@@ -105,12 +105,14 @@ ORACLE = {
     "q_leaderboard": """
         WITH m AS (SELECT split, source, avg(length(output)) AS v FROM dataset_item GROUP BY ALL)
         SELECT split, round(max(v) FILTER (source = 'lamp_tweet'), 6) AS lamp_tweet, count(*) AS n_tasks, round(avg(v), 6) AS avg_metric FROM m GROUP BY split""",
-    "q_statement_accuracy": """
-        WITH r AS (SELECT CASE sample_idx % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'SELECT' END AS b, coalesce(length(output) > 20, false) AS ok FROM dataset_item)
-        SELECT b AS bucket, count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS acc FROM r GROUP BY b UNION ALL SELECT 'overall', count(*), round(avg(CAST(ok AS INT)), 6) FROM r""",
+    "q_statement_accuracy": f"""
+        WITH k AS (SELECT unnest({[*results.STATEMENT_KINDS, "overall"]}) AS bucket),
+        r AS (SELECT CASE sample_idx % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'SELECT' ELSE 'counting' END AS t, coalesce(length(output) > 20, false) AS ok FROM dataset_item),
+        m AS (SELECT t AS bucket, ok FROM r WHERE t <> 'SELECT' UNION ALL SELECT 'SELECT', ok FROM r WHERE t NOT IN ('INSERT', 'UPDATE') UNION ALL SELECT 'overall', ok FROM r)
+        SELECT bucket, count(ok) AS n, round(coalesce(avg(CAST(ok AS INT)), 0), 6) AS acc FROM k LEFT JOIN m USING (bucket) GROUP BY bucket""",
     "q_rollup_per_file": "SELECT coalesce(source_file, 'all') AS file, count(*) AS total, CAST(coalesce(sum(CAST(length(payload) > 900 AS INT)), 0) AS BIGINT) AS passed, round(avg(CAST(length(payload) > 900 AS INT)), 6) AS acc FROM raw_record GROUP BY ROLLUP (source_file)",
     "q_split_policy": """
-        WITH u AS (SELECT lower(trim(user_id)) AS user_id, count(*) AS n FROM dataset_item WHERE user_id IS NOT NULL GROUP BY 1), k AS (SELECT least(200, count(*) // 10) AS k FROM u),
+        WITH u AS (SELECT lower(trim(user_id)) AS user_id, count(*) AS n FROM dataset_item WHERE user_id IS NOT NULL GROUP BY 1), k AS (SELECT CASE WHEN count(*) >= 200 THEN 200 ELSE greatest(1, 2 * count(*) // 10) END AS k FROM u),
         r AS (SELECT user_id, n FROM u QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', user_id, '42')), user_id) <= (SELECT k FROM k)),
         o AS (SELECT user_id FROM u WHERE user_id NOT IN (SELECT user_id FROM r) QUALIFY row_number() OVER (ORDER BY n DESC, user_id) <= (SELECT k FROM k))
         SELECT sample_idx, CASE WHEN lower(trim(user_id)) IN (SELECT user_id FROM r) THEN 'random_test' WHEN lower(trim(user_id)) IN (SELECT user_id FROM o) THEN 'ood_test' ELSE 'train' END AS split FROM dataset_item""",

@@ -54,7 +54,7 @@ def test_policies_and_configs(spark, tmp_path):
     df = spark.createDataFrame([(f"u{i % 40}", i) for i in range(400)] + [(None, 999)], "user_id string, x int")
     got = policies.user_split(df, "lamp")
     per_user = got.groupBy("user_id").agg(F.collect_set("split").alias("s")).collect()
-    assert got.count() == 401 and all(len(r.s) == 1 for r in per_user) and sum(r.s == ["random_test"] for r in per_user) == 4 == sum(r.s == ["ood_test"] for r in per_user)
+    assert got.count() == 401 and all(len(r.s) == 1 for r in per_user) and sum(r.s == ["random_test"] for r in per_user) == 8 == sum(r.s == ["ood_test"] for r in per_user)
     weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "source string, weight double")
     assert 680 < policies.weighted_draws(weights, 1000).where("source = 'a'").count() < 820
     (tmp_path / "t1").mkdir()
