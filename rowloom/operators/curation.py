@@ -68,7 +68,7 @@ def fit_history(df: DataFrame, budget: int, history: str = "history") -> DataFra
     for n, chars in sized.items():
         level = level.when(F.floor(chars / 4) + FORMAT_TOKENS <= F.lit(budget * USED), F.lit(n))
     # characters of the items from each one on, in the last resort
-    least = F.transform(F.reverse(there), lambda x: _value_sum(x, fields, lambda v, k: F.least(F.length(v), F.lit(LEAST_VALUE))).cast("long"))
+    least = F.transform(F.reverse(there), lambda x: _value_sum(x, fields, lambda v, k: F.when(v.isNotNull(), F.least(F.length(v), F.lit(LEAST_VALUE)))).cast("long"))
     rows = df.withColumn("level", level.otherwise(F.lit(-1))).withColumn("_sums", running_sums(least))
     kept = F.size(F.filter("_sums", lambda s: F.floor(s / 4) + DROP_TOKENS <= F.lit(budget * USED)))
     limit = F.when(F.col("level") == -1, F.lit(LEAST_VALUE)).otherwise(F.col("level"))

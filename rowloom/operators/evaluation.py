@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions import answers as an
 from rowloom.functions import matching
@@ -125,7 +126,7 @@ def answered(rows: DataFrame, ask: Callable[[list[str]], list[str]], prompt: str
     """
     import time
 
-    schema = rows.schema.add("output", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("output", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.text import item_label, non_blank, one_decimal, render_item, token_estimate
 
@@ -23,7 +24,7 @@ def running_sums(numbers: Column) -> Column:
     return _running(numbers)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _running(numbers: pd.Series) -> pd.Series:
     return numbers.map(lambda a: np.cumsum(np.asarray(a, dtype=np.int64)), na_action="ignore")
 

@@ -104,7 +104,7 @@ _FIT = f"""
     sized AS (SELECT record_id, sum({_sum("length({v}) + {k} + 8")}) AS printed, {', '.join(f'''sum({_sum("CASE WHEN length(trim({v}, " + _BL + ")) > " + str(n) + " THEN " + str(n + 3) + " ELSE length(trim({v}, " + _BL + ")) END + {k} + 10")}) AS s{n}''' for n in curation.VALUE_LIMITS)} FROM items GROUP BY record_id),
     levels AS (SELECT record_id, CASE WHEN floor(coalesce(printed, 0) / 4) <= {BUDGET} * 0.5 THEN 0 {' '.join(f'WHEN floor(s{n} / 4) + 1000 <= {BUDGET} * 0.9 THEN {n}' for n in curation.VALUE_LIMITS)} ELSE -1 END AS level
         FROM (SELECT record_id FROM raw_user_history WHERE history IS NOT NULL) LEFT JOIN sized USING (record_id)),
-    tail AS (SELECT record_id, pos, x, task, sum({_sum("least(length({v}), 300)")}) OVER (PARTITION BY record_id ORDER BY pos DESC) AS t FROM items),
+    tail AS (SELECT record_id, pos, x, task, sum({_sum("CASE WHEN {v} IS NOT NULL THEN least(length({v}), 300) END")}) OVER (PARTITION BY record_id ORDER BY pos DESC) AS t FROM items),
     kept AS (SELECT record_id, task, pos, level, x FROM tail JOIN levels USING (record_id) WHERE level >= 0 OR floor(t / 4) + 100 <= {BUDGET} * 0.9),
     cut AS (SELECT record_id, task, pos, level, struct_pack({', '.join(f'"{f}" := CASE WHEN level = 0 THEN x.{f} WHEN level > 0 THEN ' + _cut('level', 'x.' + f) + ' ELSE ' + _cut('300', 'x.' + f, True) + ' END' for f in _FIELDS)}) AS item FROM kept)"""
 _ACTIVITY = f"""CASE WHEN count(t) = 0 THEN '' ELSE '{{0}}' || chr(10) || string_agg(t, ' || ' ORDER BY pos) END"""
