@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.order import with_position
+
 
 def accuracy(correct: Column) -> Column:
     return F.avg(correct.cast("double"))
@@ -63,10 +66,21 @@ def mean_loss(df: DataFrame, loss: str, tokens: str, *by: str) -> DataFrame:
 
 
 def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, largest, smallest, median, population deviation and total of a measure."""
-    return df.groupBy(*by).agg(
-        F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.sum(value).alias("total")
-    )
+    """Mean, largest, smallest, median, population deviation and total of a measure; null values do not count.
+
+    The exact median is read off at global positions in the order of group and value, so no task holds a group.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    stats = rows.groupBy(*by).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_pop(value).alias("std"), F.sum(value).alias("total"))
+    placed = with_position(rows.select(*by, value), *by, value, name="_at")
+    ends = placed.groupBy(*by).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}"))
+    middle = placed.alias("p").join(ends.alias("e"), same).where(F.col("_at").between(F.floor((F.col("_lo") + F.col("_hi")) / 2), F.ceil((F.col("_lo") + F.col("_hi")) / 2)))
+    median = middle.groupBy(*[F.col(f"e.{c}").alias(c) for c in by]).agg(F.avg(F.col(f"p.{value}")).alias("median"))
+    joined = stats.alias("s").join(median.alias("m"), reduce(lambda a, c: a & F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")), by, F.lit(True)))
+    return joined.select(*[F.col(f"s.{c}").alias(c) for c in by], "avg", "max", "min", "median", "std", "total")
 
 
 def table_checksum(df: DataFrame, *by: str) -> DataFrame:

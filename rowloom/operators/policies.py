@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.order import with_position
-from rowloom.operators.sampling import hash_order, largest_remainder, pick_by_bucket, user_counts
+from rowloom.operators.sampling import hash_order, hash_share, largest_remainder, pick_by_bucket, user_counts
 from rowloom.operators.skew import join_lookup
 
 #: Users held out at random and out of distribution, by data set; shares where fewer than one.
@@ -110,7 +110,7 @@ def weighted_draws(weights: DataFrame, n: int, seed: int = 42, name: str = "sour
     """n draws of data sets with replacement by weight (`draw`, `name`): a hash of the draw falls into a range of the cumulated weights."""
     order = Window.orderBy(name)  # one row per data set
     ranges = weights.select(name, (F.sum("weight").over(order) - F.col("weight")).alias("lo"), F.sum("weight").over(order).alias("hi"))
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(hash_order("id", seed=seed), 1, 12), 16, 10).cast("double") / float(16**12)).alias("at"))
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), hash_share("id", seed=seed).alias("at"))
     # the ranges, one per data set, lie in one array that each draw is looked up in
     table = ranges.agg(F.sort_array(F.collect_list(F.struct("hi", name))).alias("t")).select("t").scalar()
     return draws.withColumn("t", table).select("draw", F.coalesce(F.get(F.filter("t", lambda x: x["hi"] > F.col("at")), 0), F.element_at("t", -1))[name].alias(name))

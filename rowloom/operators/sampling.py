@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import distance
 from rowloom.operators.order import with_position
-from rowloom.operators.skew import join_lookup
+from rowloom.operators.skew import join_lookup, join_small
 from rowloom.session import durable
 
 
@@ -31,15 +31,27 @@ def largest_remainder(sizes: DataFrame, want: int) -> DataFrame:
     return base.select("bucket", "cap", (F.col("base") + extra).cast("long").alias("take"))
 
 
+def hash_share(*columns: Column | str, seed: int = 42) -> Column:
+    """Where a row stands in `hash_order`, between 0 and 1."""
+    return F.conv(F.substring(hash_order(*columns, seed=seed), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
 def pick_by_bucket(rows: DataFrame, takes: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """The rows picked from each bucket: the first `take` in hash order of their key.
 
-    Rows get their position in one global order of bucket and hash; their rank is the distance from the bucket's first
-    position. So a bucket of any size is spread over tasks. Buckets missing in `takes` give no row.
+    A bucket's rows below a threshold of their hash are candidates: as many as are wanted and some more, so only these few
+    get a position in a global order. The rare bucket that has too few of them goes the same way with all its rows.
+    Buckets missing in `takes` give no row.
     """
-    placed = with_position(rows, "bucket", hash_order(key, seed=seed), key, name="_at")
-    first = placed.groupBy("bucket").agg(F.min("_at").alias("_first")).join(takes.select("bucket", "take"), "bucket")
-    return join_lookup(placed, first, "bucket").where(F.col("_at") - F.col("_first") < F.col("take")).drop("_at", "_first", "take")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_cap"))
+    want = durable(takes.select("bucket", "take").join(sizes, "bucket").where("take > 0").withColumn("_below", (F.col("take") + 6 * F.sqrt("take") + 20) / F.col("_cap")))
+    near = durable(join_small(rows, want, "bucket").where((F.col("_below") >= 1) | (hash_share(key, seed=seed) < F.col("_below"))))
+    short = want.join(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket", "left").where(F.coalesce("_n", F.lit(0)) < F.least("take", "_cap")).drop("_n")
+    if not short.isEmpty():
+        near = near.join(F.broadcast(short.select("bucket")), "bucket", "left_anti").unionByName(join_small(rows, short, "bucket"))
+    placed = with_position(near.drop("_below", "_cap"), "bucket", hash_order(key, seed=seed), key, name="_at")
+    first = placed.groupBy("bucket").agg(F.min("_at").alias("_first"))
+    return join_small(placed, first, "bucket").where(F.col("_at") - F.col("_first") < F.col("take")).drop("_at", "_first", "take")
 
 
 def quantile_bins(df: DataFrame, length: str, bins: int = 10) -> DataFrame:
@@ -101,7 +113,7 @@ def drop_held_out(train: DataFrame, *tests: DataFrame, key: str = "user_id") ->
     held = tests[0].select(key)
     for t in tests[1:]:
         held = held.unionByName(t.select(key))
-    return train.join(held.where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return join_lookup(train, held.where(F.col(key).isNotNull()).distinct(), key, how="left_anti")
 
 
 def overlap_audit(rows: DataFrame, split: str, *parts: Column) -> DataFrame:

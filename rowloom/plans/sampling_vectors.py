@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import vectors as v
 from rowloom.operators import conversations as c
 from rowloom.operators import history as h
-from rowloom.operators import nested, sampling
+from rowloom.operators import nested, sampling, skew, vector_search
 from rowloom.plans.curation import _CONV
 from rowloom.sources.tables import read_table
 
@@ -30,14 +30,14 @@ def profile_join(s, d):
     """Evaluation samples with the longest profile known of their user; the empty text where none is known."""
     known = _items(s, d).where("profile_text is not null and user_id is not null").groupBy(F.lower(F.trim("user_id")).alias("u")).agg(F.max(F.struct(F.length("profile_text").alias("n"), F.col("profile_text").alias("p"))).alias("best"))
     rows = read_table(s, d, "text_generation_sample").select("sample_id", F.lower(F.trim("user_id")).alias("u"))
-    return rows.join(known, "u", "left").select("sample_id", F.coalesce(F.length("best.p"), F.lit(0)).cast("long").alias("profile_chars"))
+    return skew.join_lookup(rows, known, "u", how="left").select("sample_id", F.coalesce(F.length("best.p"), F.lit(0)).cast("long").alias("profile_chars"))
 
 
 def users_with_history(s, d):
     """Records of users that also deliver a history (semi-join)."""
     have = read_table(s, d, "raw_user_history").where("size(history) > 0").select(F.lower(F.trim("user_id")).alias("u"))
     items = _items(s, d).select("sample_idx", F.lower(F.trim("user_id")).alias("u"))
-    return items.join(have, "u", "left_semi").select("sample_idx")
+    return skew.join_lookup(items, have.where("u is not null").distinct(), "u", how="left_semi").select("sample_idx")
 
 
 def completed(s, d):
@@ -97,11 +97,8 @@ def normalized(s, d):
 
 def cosine_top(s, d):
     """For each query vector (id divisible by 50) the five nearest others by cosine, against all vectors."""
-    rows = read_table(s, d, "embeddings").select("vec_id", v.unit(F.col("embedding")).alias("u"))
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("u").alias("qu"))
-    near = queries.join(rows, F.col("q") != F.col("vec_id")).select("q", "vec_id", F.round(v.dot(F.col("qu"), F.col("u")), 6).alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "vec_id"))
-    return near.withColumn("rank", rank).where("rank <= 5").select("q", "vec_id", "cos", F.col("rank").cast("long").alias("rank"))
+    rows = read_table(s, d, "embeddings")
+    return vector_search.nearest_by_cosine(rows.where("vec_id % 50 = 0"), rows, 5)
 
 
 def similarity_stats(s, d):
