@@ -116,5 +116,10 @@ ORACLE = {
         r AS (SELECT user_id, n FROM u QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', user_id, '42')), user_id) <= (SELECT k FROM k)),
         o AS (SELECT user_id FROM u WHERE user_id NOT IN (SELECT user_id FROM r) QUALIFY row_number() OVER (ORDER BY n DESC, user_id) <= (SELECT k FROM k))
         SELECT sample_idx, CASE WHEN lower(trim(user_id)) IN (SELECT user_id FROM r) THEN 'random_test' WHEN lower(trim(user_id)) IN (SELECT user_id FROM o) THEN 'ood_test' ELSE 'train' END AS split FROM dataset_item""",
+    "q_weighted_draws": """
+        WITH s AS (SELECT source, sqrt(count(*)) AS w FROM dataset_item GROUP BY 1), f AS (SELECT source, greatest(w, 0.1 * max(w) OVER ()) AS w FROM s), p AS (SELECT source, w / sum(w) OVER () AS w FROM f),
+        r AS (SELECT source, coalesce(sum(w) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(w) OVER (ORDER BY source) AS hi FROM p),
+        d AS (SELECT CAST('0x' || substring(md5(concat_ws('|', CAST(i AS VARCHAR), '42')), 1, 12) AS BIGINT) / 281474976710656.0 AS x FROM range(2000) t(i))
+        SELECT source, count(*) AS n_draws FROM d JOIN r ON x >= lo AND x < hi GROUP BY 1""",
     "q_masked_loss": "SELECT vec_id, round(-coalesce(list_sum(list_filter(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: x > 0)), 0), 6) AS nll FROM embeddings",
 }
