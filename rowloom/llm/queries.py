@@ -35,7 +35,18 @@ def p1_report(spark, d):
     return splits.split_report(items, splits.assign_splits(items))
 
 
+def p1_check(spark, d):
+    """What an assignment must hold: groups in two splits (none), records without a split (none), and shares within a hundredth of
+    those wanted, which groups of up to a tenth of the records allow."""
+    got = splits.assign_splits(_items(spark, d))
+    groups = got.groupBy("grp").agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("split").isNull(), 1)).alias("free"), *[F.count(F.when(F.col("split") == x, 1)).alias(x) for x in splits.SPLITS])
+    total = groups.agg(F.sum("n").alias("n_records"), F.count(F.when(F.col("n_splits") > 1, 1)).alias("torn_groups"), F.sum("free").alias("unassigned"), *[F.sum(x).alias(x) for x in splits.SPLITS])
+    gap = F.greatest(*[F.abs(F.col(x) - p * F.col("n_records")) for x, p in zip(splits.SPLITS, splits.PROPORTIONS)])
+    return total.select("n_records", "torn_groups", "unassigned", (gap <= 0.01 * F.col("n_records")).alias("shares_close"))
+
+
 QUERIES = {
+    "p1_check": p1_check,
     "p1_found": lambda s, d: splits.multi_user_groups(splits.assign_splits(_items(s, d))),
     "p1_splits": p1_splits,
     "p1_report": p1_report,
@@ -56,6 +67,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 _ID = "nullif(lower(trim({0}, " + _BLANKS + ")), '')"
 
 ORACLE = {
+    "p1_check": "SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS torn_groups, CAST(0 AS BIGINT) AS unassigned, true AS shares_close FROM dataset_item",
     "p1_found": f"""
         WITH RECURSIVE r AS (SELECT sample_idx, {_ID.format('user_id')} AS u, {_ID.format('question_id')} AS q FROM dataset_item),
         star AS (SELECT q, min(u) AS m FROM r WHERE q IS NOT NULL AND u IS NOT NULL GROUP BY q HAVING min(u) < max(u)),
