@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +18,18 @@ CONFIG = "task_name string, source string, split string, response_field string,
 
 
 def read_task_configs(spark: SparkSession, folder: str, file: str = "metadata.yaml") -> DataFrame:
-    """The configurations of a folder with one folder per task, as the small dimension of tasks, in name order; absent fields are null."""
+    """The configurations of a folder with one folder per task, as the small dimension of tasks, in name order; absent fields are null.
+
+    The files may lie on any file system the cluster reads; there is one small one per task.
+    """
     if yaml is None:
         raise RuntimeError("reading task configurations needs PyYAML")
     names = [c.split(" ")[0] for c in CONFIG.split(", ")]
+    files = spark.read.text(f"{folder}/*/{file}", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("task"), "value")
     rows = []
-    for task in sorted(os.listdir(folder)):
-        path = os.path.join(folder, task, file)
-        if os.path.isfile(path):
-            with open(path, encoding="utf-8") as f:
-                found = yaml.safe_load(f) or {}
-            rows.append(tuple({**found, "task_name": task}.get(n) for n in names))
+    for r in sorted(files.collect()):
+        found = yaml.safe_load(r["value"]) or {}
+        rows.append(tuple({**found, "task_name": r["task"]}.get(n) for n in names))
     return spark.createDataFrame(rows, CONFIG)
 
 
