@@ -24,6 +24,12 @@ def strict_objects(df: DataFrame, payload: str, *keep: str) -> DataFrame:
     return parsed.where(whole).selectExpr(*keep, "_a[1] as v")
 
 
+def is_object(column: str) -> str:
+    """SQL for whether a text is, as a whole, one valid JSON object; false for null."""
+    sealed = f"""try_variant_get(try_parse_json(concat('["{_SEAL}",', `{column}`, ',"{_SEAL}"]')), '$', 'array<variant>')"""
+    return f"coalesce(size({sealed}) = 3 and try_variant_get({sealed}[2], '$', 'string') = '{_SEAL}' and try_variant_get({sealed}[1], '$', 'map<string,variant>') is not null, false)"
+
+
 def _elements(value: str, text_arrays: bool = True) -> str:
     """SQL for the elements of a variant: an array's own, a lone object as one, an array written as JSON text (if wanted)."""
     text = f"""

@@ -9,7 +9,7 @@ import numpy as np
 from pyarrow import fs
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a Hadoop-style address of the shared folder."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/")
@@ -20,7 +20,7 @@ def _folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Write arrays as one file; a task that runs twice leaves one whole file."""
-    files, path = _folder(uri)
+    files, path = file_system(uri)
     files.create_dir(path, recursive=True)
     whole = io.BytesIO()
     np.savez(whole, **arrays)
@@ -32,7 +32,7 @@ def write_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 def read_arrays(uri: str, name: str) -> dict[str, np.ndarray] | None:
     """The arrays of a file; none if no task wrote it."""
-    files, path = _folder(uri)
+    files, path = file_system(uri)
     try:
         with files.open_input_file(f"{path}/{name}") as f:
             with np.load(io.BytesIO(f.read())) as z:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.operators.nested import is_object
 from rowloom.operators.order import with_position
 
 #: Endings of file names that name a split, longest first.
@@ -18,13 +19,18 @@ SPLITS = ("_random_train", "_random_test", "_ood_train", "_ood_test", "_train")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
-    """JSON lines with a fixed schema. Blank lines are skipped; a broken line fails the read, or is skipped if not strict."""
+    """JSON lines with a fixed schema. Blank lines are skipped; a broken line fails the read, or is skipped if not strict.
+
+    A line counts as broken unless the whole of it is one object, also where a valid object is followed by something else.
+    """
     fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     if strict:
-        return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
-    wide = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).select(*fields.names)
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        whole = F.expr(is_object("value"))
+        checked = lines.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("MALFORMED line: it is not one JSON object"))))
+        return checked.select(F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    lines = spark.read.text(path).where(F.expr(is_object("value")))
+    return lines.select(F.from_json("value", fields).alias("r")).select("r.*")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -92,9 +98,12 @@ def with_task_split(df: DataFrame) -> DataFrame:
 
 
 def sniff_format(spark: SparkSession, path: str) -> str | None:
-    """`parquet` for a folder with Parquet files, `jsonl`, `json`, or none, by names only."""
-    files, entries = _listing(spark, path)
+    """`parquet` for a folder with Parquet files, `jsonl`, `json`, or none, by names only; folders of partitions are looked into."""
+    _, entries = _listing(spark, path)
     names = [e.getPath().getName() for e in entries]
+    parts = [n for n, e in zip(names, entries) if e.isDirectory() and "=" in n]
+    if parts:
+        return sniff_format(spark, f"{path}/{parts[0]}")
     if any(n.endswith(".parquet") for n in names):
         return "parquet"
     if path.endswith((".jsonl", ".jsonlines")) or (names and all(n.endswith((".jsonl", ".jsonlines")) for n in names)):
