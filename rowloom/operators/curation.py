@@ -221,10 +221,10 @@ def profile_parts(text: Column) -> Column:
 def fill_users(rows: DataFrame, source: DataFrame, keys: tuple[str, ...], index: str, question: str = "question_id", user: str = "user_id", order: str = "sample_idx") -> DataFrame:
     """Rows with their missing users filled in: by the first of `keys` that is a known question, else by their place in the source.
 
-    Of a question's several users the last in `order` counts; rows without a question are not looked up. Users that are there
+    Of a question's several users the last in `order` counts, null ones left out; rows without a question are not looked up. Users that are there
     stay. `index` is the row's place, compared with `order`.
     """
-    known = source.where(f"`{question}` is not null").groupBy(F.col(question).cast("string").alias("_q")).agg(F.max_by(user, order).alias("_u"))
+    known = source.where(f"`{question}` is not null and `{user}` is not null").groupBy(F.col(question).cast("string").alias("_q")).agg(F.max_by(user, order).alias("_u"))
     placed = source.select(F.col(order).alias("_at"), F.col(user).alias("_placed"))
     missing = F.coalesce(F.col(user), F.lit("")) == ""
     out = rows.where(missing)

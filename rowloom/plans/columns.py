@@ -173,7 +173,7 @@ ORACLE = {
             CAST('0x' || substring(md5(concat_ws('|', question_id, '42')), 1, 8) AS BIGINT) % 2 = 1 AS swapped FROM dataset_item WHERE question_id IS NOT NULL""",
     "q_instructions": f"SELECT sample_id, md5(coalesce(CASE WHEN sample_id % 2 = 0 THEN nullif(trim(prompt, ' '), '') END, nullif(trim(task, ' '), ''), '')) AS digest FROM text_generation_sample",
     "q_json_lines": """
-        WITH l AS (SELECT regexp_replace(coalesce(payload, ''), '[\r\n]', ' ', 'g') AS p FROM raw_record), o AS (SELECT p FROM l WHERE json_valid(p) AND json_type(p) = 'OBJECT')
+        WITH l AS (SELECT regexp_replace(coalesce(payload, ''), '[\r\n]', ' ', 'g') AS p FROM raw_record), o AS (SELECT p FROM l WHERE json_valid(p) AND json_type(p) = 'OBJECT' AND NOT regexp_matches(p, ',\\s*\\}\\s*$'))
         SELECT p ->> '$.user_id' AS user_id, count(*) AS n FROM o GROUP BY 1""",
     "q_table_round_trip": "SELECT p_brand, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY 1",
     "q_report_round_trip": "SELECT event_type, round(avg(value), 5) AS value, count(*) AS n FROM events GROUP BY 1",

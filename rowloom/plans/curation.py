@@ -132,7 +132,7 @@ def _array(v: str, as_text: bool = True) -> str:
     return f"CASE WHEN json_type({v}) = 'OBJECT' THEN json_array({v}) WHEN json_type({v}) = 'ARRAY' THEN {v}{text} ELSE CAST('[]' AS JSON) END"
 
 
-_GOOD = "good AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')"
+_GOOD = "good AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND NOT regexp_matches(payload, ',\\s*\\}\\s*$'))"
 _CONV = f"""{_GOOD}, ca AS (SELECT record_id, {_array("(p -> '$.conversations')")} AS a FROM good),
     cv AS (SELECT record_id, conversation, e FROM (SELECT record_id, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS conversation, unnest(CAST(a AS JSON[])) AS e FROM ca) WHERE json_type(e) = 'OBJECT'),
     ta AS (SELECT record_id, conversation, {_array("(e -> '$.conversation_history')")} AS a FROM cv),

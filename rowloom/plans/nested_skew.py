@@ -52,7 +52,7 @@ ORACLE = {
             SELECT record_id, 'query', -1, i - 1
             FROM (SELECT record_id, query AS a, unnest(range(1, len(query) + 1)) AS i FROM raw_user_history) WHERE a[i] IS NOT NULL
         ), good AS (
-            SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'
+            SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND NOT regexp_matches(payload, ',\\s*\\}\\s*$')
         ), tops AS (
             SELECT record_id, path, CASE
                 WHEN json_type(v) = 'OBJECT' THEN json_array(v)
@@ -96,7 +96,7 @@ def _elements(value: str, as_text: bool = True) -> str:
 def _table(path: str, fields: tuple[str, ...]) -> str:
     """SQL for one target table of the payloads."""
     top, field, as_text = nested.BELOW.get(path, (path, "", True))
-    good = "good AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')"
+    good = "good AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND NOT regexp_matches(payload, ',\\s*\\}\\s*$'))"
     walk = f"""{good}, ta AS (SELECT record_id, p ->> '$.user_id' AS user_id, {_elements(f"(p -> '$.{top}')")} AS a FROM good),
         te AS (SELECT * FROM (SELECT record_id, user_id, CAST(-1 AS BIGINT) AS parent_pos, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS pos, unnest(CAST(a AS JSON[])) AS e FROM ta) WHERE json_type(e) = 'OBJECT')"""
     last = "te"

@@ -95,7 +95,7 @@ def baselines(s, d):
 
 def zipped(s, d):
     rows = read_table(s, d, "text_generation_sample")
-    outputs = rows.select("sample_id", F.upper("reference").alias("output"))
+    outputs = rows.select("sample_id", F.concat("reference", F.lit("!")).alias("output"))
     return ev.zip_outputs(rows.select("sample_id", "task"), outputs, "sample_id").select("sample_id", "task", F.length("output").cast("long").alias("n"))
 
 
@@ -274,7 +274,7 @@ ORACLE = {
         SELECT event_type, min(CASE WHEN k >= 40 THEN event_id END) AS stopped FROM c GROUP BY 1""",
     "q_best_checkpoints": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice, o_orderkey LIMIT 5",
     "q_with_baselines": "SELECT source, split, round(avg(length(output)), 6) AS value, 'own' AS model FROM dataset_item GROUP BY ALL UNION ALL SELECT source, NULL, round(avg(length(input)), 6), 'base' FROM dataset_item GROUP BY ALL",
-    "q_zip_outputs": "SELECT sample_id, task, length(upper(reference)) AS n FROM text_generation_sample",
+    "q_zip_outputs": "SELECT sample_id, task, length(reference) + 1 AS n FROM text_generation_sample",
     "q_profile_match": """
         WITH k AS (SELECT profile_text AS p, min(sample_idx) AS first FROM dataset_item WHERE profile_text IS NOT NULL GROUP BY 1)
         SELECT sample_id, first FROM text_generation_sample t LEFT JOIN k ON coalesce(t.user_profile, '') = k.p""",

@@ -116,7 +116,7 @@ def test_chosen_answers(spark):
 
 
 def test_fill_users(spark):
-    source = spark.createDataFrame([(0, "q", "a"), (1, "q", "b"), (2, None, "c"), (3, "r", None)], "sample_idx long, question_id string, user_id string")
+    source = spark.createDataFrame([(0, "q", "a"), (1, "q", "b"), (2, None, "c"), (3, "r", None), (4, "q", None)], "sample_idx long, question_id string, user_id string")
     df = spark.createDataFrame([(9, "q", None), (2, None, ""), (7, "q", "z"), (8, None, None)], "sample_id long, question_id string, user_id string")
     assert {r.sample_id: r.user_id for r in curation.fill_users(df, source, ("question_id", "sample_id"), "sample_id").collect()} == {2: "c", 7: "z", 8: None, 9: "b"}
 
