@@ -6,6 +6,8 @@ import numpy as np
 
 #: A span found in more texts than this is counted, and its places are only listed where nothing rarer speaks for a pair.
 FREQUENT = 48
+#: Parts of at most so many words are near-same only if they are equal, as a fifth of them is less than a word.
+EXACT = 3
 
 
 def least_run(n: np.ndarray | int) -> np.ndarray:
@@ -170,26 +172,42 @@ def most_lost(n: np.ndarray, width: int, near: float) -> np.ndarray:
     return np.max(over, axis=0)
 
 
+def kin(symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for the words of each part of at most EXACT words, the same for equal parts; 0 for longer parts."""
+    out = sizes.astype(np.int64)
+    for k in range(EXACT):
+        out = out * 0x5851F42D4C957F2D + np.where(k < sizes, symbols[np.minimum(begin + k, len(symbols) - 1)], 0)
+    return np.where(sizes > EXACT, 0, (out >> 24 & 0x3FFFFFFF) + 1)
+
+
+def listing_keys(symbols: np.ndarray, start: np.ndarray, sizes: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For listing by the first and by the second part of texts: the kin of the other part, and the size of this one."""
+    first, second = kin(symbols, start, cuts), kin(symbols, start + cuts, sizes - cuts)
+    return [(second, cuts), (first, sizes - cuts)]
+
+
 def ready(index: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The index with the texts of each interval listed by the size of their first and of their second part (parted at `cuts`)."""
+    """The index with the texts of each interval listed by the kin of one part and the size of the other (parted at `cuts`)."""
     n = max(1, len(index["sizes"]))
+    symbols = index["symbols"]
+    keys = [other << 32 | sizes for other, sizes in listing_keys(symbols, index["start"], index["sizes"], index["cuts"])]
     if "group" not in index:
-        order, symbols = index["order"], index["symbols"]
+        order = index["order"]
         one, two = symbols[order], np.r_[symbols[1:], 0][order]
         index["group"] = np.r_[0, np.cumsum((one[1:] != one[:-1]) | (two[1:] != two[:-1]))].astype(np.int32)
         text = np.maximum(np.searchsorted(index["start"], order, side="right") - 1, 0)
-        for p, sizes in enumerate((index["cuts"], index["sizes"] - index["cuts"])):
+        for p in (0, 1):
             rank = np.empty(n, dtype=np.int64)
-            rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
+            rank[np.argsort(keys[p], kind="stable")] = np.arange(len(keys[p]))
             key = index["group"] * np.int64(n) + rank[text]
             key.sort()
             index[f"rank{p}"] = (key % n).astype(np.int32)
     if "key0" not in index:
-        index["heads"] = np.searchsorted(index["steps"], np.arange(len(index["vocabulary"]) + 2) * np.int64(len(index["symbols"])))
-        for p, sizes in enumerate((index["cuts"], index["sizes"] - index["cuts"])):
+        index["heads"] = np.searchsorted(index["steps"], np.arange(len(index["vocabulary"]) + 2) * np.int64(len(symbols)))
+        for p in (0, 1):
             index[f"key{p}"] = index["group"] * np.int64(n) + index[f"rank{p}"]
-            index[f"texts{p}"] = np.argsort(sizes, kind="stable")
-            index[f"sorted{p}"] = np.sort(sizes)
+            index[f"texts{p}"] = np.argsort(keys[p], kind="stable")
+            index[f"sorted{p}"] = np.sort(keys[p])
     return index
 
 
@@ -200,7 +218,9 @@ def partners(index: dict[str, np.ndarray], queries: list[np.ndarray], cuts: list
     interval of each one- and two-word span of the queries. If two parts are near-same, at most `lost_spans` of the spans of
     one are missing in the other, whatever words are left out, put in or changed. So of the spans of one part the
     rarest are listed, more than can be lost, and texts that hold too few of them are dropped. Which part and which width
-    is listed is chosen per query by the number of places; no interval is too frequent to be listed.
+    is listed is chosen per query by the number of places; no interval is too frequent to be listed. The places of a two-word
+    span lie by the kin of the other part and by size: only those of fitting size are read, and where the other part is so short
+    that it must be equal (a label, a rating), only those beside an equal one.
     """
     steps, n_texts = index["steps"], np.int64(max(1, len(index["sizes"])))
     total = np.int64(len(index["symbols"]))
@@ -213,6 +233,15 @@ def partners(index: dict[str, np.ndarray], queries: list[np.ndarray], cuts: list
     cut = np.array(cuts, dtype=np.int64)
     segment = 2 * owner + (np.arange(len(flat)) - base[owner] >= cut[owner])
     n = np.stack([cut, sizes - cut], axis=1).ravel()
+    # texts of fitting size and kin, per part, as a range of ranks; whoever has none in one of them has no partner
+    low, high = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+    for p, (other, own) in enumerate(listing_keys(flat, base[:-1], sizes, cut)):
+        low[p::2] = np.searchsorted(index[f"sorted{p}"], other << 32 | least_shared(own, near), side="left")
+        high[p::2] = np.searchsorted(index[f"sorted{p}"], other << 32 | np.floor(own / near + 1e-9).astype(np.int64), side="right")
+    fitting = np.flatnonzero((high > low)[0::2] & (high > low)[1::2])
+    if len(fitting) < len(queries):
+        some = partners(index, [queries[a] for a in fitting.tolist()], cut[fitting].tolist(), near)
+        return np.stack([fitting[some[0]], some[1]])
     known = flat > 0
     lo1 = np.where(known, index["heads"][np.maximum(flat, 0)], 0)
     hi1 = np.where(known, index["heads"][np.maximum(flat, 0) + 1], 0)
@@ -226,13 +255,14 @@ def partners(index: dict[str, np.ndarray], queries: list[np.ndarray], cuts: list
     for width, seg, lo, hi in ((1, segment, lo1, hi1), (2, segment[head], lo2, hi2)):
         lost = most_lost(n, width, near)
         cost = hi - lo
-        order = np.lexsort((cost, seg))
+        order = np.argsort(seg << 32 | cost)  # by segment, the rarest first
         seg, lo, hi, cost = seg[order], lo[order], hi[order], cost[order]
         have = np.bincount(seg, minlength=len(n))
         place = np.arange(len(seg)) - (np.cumsum(have) - have)[seg]
         least = np.bincount(seg, weights=np.where(place <= lost[seg], cost, 0), minlength=len(n))
-        options.append((seg, lo, hi, cost, have, place, lost, np.where(have > lost, least, np.inf)))
-    price = np.stack([o[-1] for o in options], axis=1).reshape(len(queries), 4)  # first part by one and two words, second part
+        # of two-word spans, only the places of fitting texts will be read
+        options.append((seg, lo, hi, cost, have, place, lost, np.where(have > lost, least * ((high - low) / n_texts if width == 2 else 1), np.inf), least))
+    price = np.stack([o[-2] for o in options], axis=1).reshape(len(queries), 4)  # first part by one and two words, second part
     best = price.argmin(axis=1)
     out = []
     for choice in range(4):
@@ -240,46 +270,45 @@ def partners(index: dict[str, np.ndarray], queries: list[np.ndarray], cuts: list
         mine = (best == choice) & np.isfinite(price.min(axis=1))
         if not mine.any():
             continue
-        seg, lo, hi, cost, have, place, lost, least = options[width]
+        seg, lo, hi, cost, have, place, lost, _, least = options[width]
         begin = np.cumsum(have) - have
         # more spans than needed, as long as the places about double: texts must then hold several
         running = np.cumsum(cost)
         within = running - np.where(begin > 0, running[np.maximum(begin, 1) - 1], 0)[seg]
-        pick = (place <= lost[seg]) | (within <= 2 * np.where(np.isfinite(least), least, 0)[seg] + 64)
+        pick = (place <= lost[seg]) | (within <= 2 * least[seg] + 64)
         pick &= mine[seg // 2] & (seg % 2 == part)
         chosen = np.bincount(seg[pick], minlength=len(n))
         pick &= cost > 0
         seg, lo, hi = seg[pick], lo[pick], hi[pick]
-        ordered = index[f"sorted{part}"]
-        low = np.searchsorted(ordered, least_shared(n, near), side="left")
-        high = np.searchsorted(ordered, np.floor(n / near + 1e-9).astype(np.int64), side="right")
-        if width:  # texts lie by size within the interval of two words
+        if width:  # texts lie by kin and size within the interval of two words
             group = index["group"][lo] * n_texts
             lo, hi = _seek(index[f"key{part}"], group + low[seg]), _seek(index[f"key{part}"], group + high[seg])
-        ranks, texts = index[f"rank{part}"], index[f"texts{part}"]
-        edges = np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="left"), np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="right")
+        ranks = index[f"rank{part}"]
+        edges = np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="left").tolist(), np.searchsorted(seg, np.arange(len(queries)) * 2 + part, side="right").tolist()
         lo, hi = lo.tolist(), hi.tolist()
+        need, first, last = (chosen - lost).tolist(), low.tolist(), high.tolist()
+        who, held, counts = [], [], []
         for a in np.flatnonzero(mine).tolist():
-            i, j = int(edges[0][a]), int(edges[1][a])
+            i, j, s = edges[0][a], edges[1][a], 2 * a + part
             if i == j:
                 continue
-            s = 2 * a + part
-            listed = np.concatenate([ranks[x:y] for x, y in zip(lo[i:j], hi[i:j])])
+            listed = np.concatenate([ranks[x:y] for x, y in zip(lo[i:j], hi[i:j]) if x < y] or [ranks[:0]])
+            if not width:
+                listed = listed[(listed >= first[s]) & (listed < last[s])]
             if not len(listed):
                 continue
-            if width:
-                count = np.bincount(listed - low[s])
-            else:
-                count = np.bincount(listed, minlength=high[s])[low[s] : high[s]]
-            near_by = np.flatnonzero(count >= chosen[s] - lost[s])
-            if not len(near_by):
-                continue
-            found = texts[near_by + low[s]]
-            m = index["cuts"][found] if part == 0 else index["sizes"][found] - index["cuts"][found]
-            held = count[near_by] >= chosen[s] - lost_spans(n[s], m, width + 1, near)
-            other = index["sizes"][found] - m
-            k = n[s ^ 1]
-            held &= np.minimum(k, other) >= near * np.maximum(k, other) - 1e-9
-            found = found[held]
-            out.append(np.stack([np.full(len(found), a), found]))
+            count = np.bincount(listed - first[s])
+            near_by = (count >= need[s]).nonzero()[0]
+            if len(near_by):
+                who.append(a)
+                held.append(near_by + first[s])
+                counts.append(count[near_by])
+        if not who:
+            continue
+        a = np.repeat(np.array(who), [len(x) for x in held])
+        found, count, s = index[f"texts{part}"][np.concatenate(held)], np.concatenate(counts), 2 * a + part
+        m = index["cuts"][found] if part == 0 else index["sizes"][found] - index["cuts"][found]
+        other, k = index["sizes"][found] - m, n[s ^ 1]
+        keep = (count >= chosen[s] - lost_spans(n[s], m, width + 1, near)) & (np.minimum(k, other) >= near * np.maximum(k, other) - 1e-9)
+        out.append(np.stack([a[keep], found[keep]]))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,19 @@ TRAIN = "train"
 #: Share of the longer text's words that must stand in the other in the same order.
 NEAR = 0.8
 #: Words of evaluation text in one shard of the index.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 3_000_000
 #: Buckets of the word counts that bound how many words two texts can share.
 BUCKETS = 256
-#: Texts searched at once, and words of training texts for which every shard is read once.
+#: Words of a bucket that are compared as bits before the counts are.
+LAYERS = 4
+#: Texts searched at once, and words of training texts for which a shard is read once.
 BATCH, PORTION_WORDS = 2_000, 8_000_000
+#: Classes of short answers, which must be equal; and more steps than there are of sizes (2**31 words are the 96th).
+CLASSES, STEPS = 64, 128
+#: The least size of each step: near-same parts lie in the same step or in steps side by side.
+EDGES = [1]
+while EDGES[-1] < 1 << 31:
+    EDGES.append(int(EDGES[-1] / NEAR + 1e-9) + 1)
 
 
 def normal_text(text: str | None) -> str:
@@ -31,11 +41,60 @@ def normal_text(text: str | None) -> str:
     return " ".join(units(strip_markup(text))) if text else ""
 
 
+def _cell(answer: str, first: int, second: int) -> int:
+    """Where a text lies among others: the class of a short answer (0 for longer ones), and the steps of the sizes of answer and question."""
+    kin = 1 + zlib.crc32(answer.encode("utf-8", "replace")) % CLASSES if second <= fmindex.EXACT else 0
+    step = np.searchsorted(EDGES, (second, first), side="right").tolist()
+    return (kin * STEPS + step[0]) * STEPS + step[1]
+
+
+def _beside(cell: int) -> list[int]:
+    """The cells in which near-same texts can lie."""
+    kin, second, first = cell // STEPS**2, cell // STEPS % STEPS, cell % STEPS
+    return [(kin * STEPS + y) * STEPS + x for y in ([second] if kin else range(max(0, second - 1), second + 2)) for x in range(max(0, first - 1), first + 2)]
+
+
+def _deal(cells: list[tuple[str, int, int]], most: int) -> tuple[dict[tuple[str, int], tuple[int, int]], int]:
+    """Deal cells (kind, cell, words) in their order out to numbered bins of `most` words; a larger cell gets some of its own.
+
+    Gives the first bin and the number of bins per cell, and the number of all bins; a bin has texts of one kind.
+    """
+    out: dict[tuple[str, int], tuple[int, int]] = {}
+    bins, room, last = 0, 0, None
+    for kind, cell, words in sorted(cells):
+        if kind == last and words <= room:
+            out[kind, cell] = (bins - 1, 1)
+            room -= words
+        else:
+            n = max(1, -(-words // most))
+            out[kind, cell] = (bins, n)
+            bins, room, last = bins + n, most - words, kind
+    return out, bins
+
+
+def _routes(cells: list[tuple[str, int]], shards: dict[tuple[str, int], tuple[int, int]]) -> dict[tuple[str, int], list[int]]:
+    """The shards in which near-same texts of each cell can lie, for the cells that have any."""
+    out = {}
+    for kind, cell in cells:
+        at = [shards[kind, c] for c in _beside(cell) if (kind, c) in shards]
+        if at:
+            out[kind, cell] = sorted({k for first, n in at for k in range(first, first + n)})
+    return out
+
+
+def _with_bin(texts: DataFrame, dealt: dict[tuple[str, int], tuple[int, int]], name: str) -> DataFrame:
+    """The texts of the dealt cells with their bin."""
+    table = texts.sparkSession.createDataFrame([(k, c, first, n) for (k, c), (first, n) in dealt.items()], "kind string, cell long, first_bin int, n_bins int")
+    at = F.col("first_bin") + F.pmod(F.xxhash64("h"), F.col("n_bins")).cast("int")
+    return texts.join(F.broadcast(table), ["kind", "cell"]).withColumn(name, at).drop("first_bin", "n_bins")
+
+
 def text_units(df: DataFrame) -> DataFrame:
     """Two rows per record: its question with its answer (kind `io`), and its profile where it has one (kind `profile`).
 
     `text` has the words; in kind `io` a tab parts question and answer, and an answer that says nothing is one mark.
-    `h` is the digest of the text: rows with the same digest are the same after normalisation.
+    `h` is the digest of the text: rows with the same digest are the same after normalisation. `cell` says where it lies by
+    sizes and short answers, `n` how many words it has.
     """
     rows = spread(df.select("sample_idx", "source", "split", "input", "output", "profile_text"))
 
@@ -44,7 +103,7 @@ def text_units(df: DataFrame) -> DataFrame:
         for batch in batches:
             if len(profiles) > 20_000:
                 profiles.clear()
-            kinds, texts, at = [], [], []
+            kinds, texts, at, cells, sizes = [], [], [], [], []
             for k, (i, o, p) in enumerate(zip(batch["input"], batch["output"], batch["profile_text"])):
                 i, o, p = (x if isinstance(x, str) else None for x in (i, o, p))
                 kinds.append("io")
@@ -56,10 +115,15 @@ def text_units(df: DataFrame) -> DataFrame:
                     kinds.append("profile")
                     texts.append(profiles[p])
                     at.append(k)
+            for text in texts:
+                question, _, answer = text.partition("\t")
+                first, second = (x.count(" ") + 1 if x else 0 for x in (question, answer))
+                cells.append(_cell(answer, first, second))
+                sizes.append(first + second)
             part = batch.iloc[at]
-            yield pd.DataFrame({"sample_idx": part["sample_idx"].to_numpy(), "source": part["source"].to_numpy(), "split": part["split"].to_numpy(), "kind": kinds, "text": texts})
+            yield pd.DataFrame({"sample_idx": part["sample_idx"].to_numpy(), "source": part["source"].to_numpy(), "split": part["split"].to_numpy(), "kind": kinds, "text": texts, "cell": cells, "n": sizes})
 
-    out = rows.mapInPandas(run, "sample_idx long, source string, split string, kind string, text string")
+    out = rows.mapInPandas(run, "sample_idx long, source string, split string, kind string, text string, cell long, n long")
     return out.withColumn("h", F.sha2(F.concat("kind", F.lit("\n"), "text"), 256).substr(1, 32))
 
 
@@ -96,6 +160,12 @@ def _bags(texts: list[np.ndarray]) -> np.ndarray:
     return counts.astype(np.uint16 if counts.max(initial=0) < 2**16 else np.uint32).reshape(len(texts), BUCKETS)
 
 
+def _bits(bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bits, one for each word up to LAYERS in a bucket, and the words beyond: they bound shared words in an eighth of the bytes."""
+    layers = np.concatenate([bags > k for k in range(LAYERS)], axis=1)
+    return np.packbits(layers, axis=1).view(np.uint64), np.maximum(bags.astype(np.int64) - LAYERS, 0).sum(axis=1)
+
+
 def _near(a: np.ndarray, cut_a: int, b: np.ndarray, cut_b: int, n_a: int, n_b: int) -> bool:
     """Whether both parts of two texts are the same or nearly so."""
     for x, y, n, m in ((a[:cut_a], b[:cut_b], cut_a, cut_b), (a[cut_a:], b[cut_b:], n_a - cut_a, n_b - cut_b)):
@@ -107,7 +177,7 @@ def _near(a: np.ndarray, cut_a: int, b: np.ndarray, cut_b: int, n_a: int, n_b: i
     return True
 
 
-def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFrame:
+def build_shards(texts: DataFrame, uri: str) -> DataFrame:
     """Write an index for each shard of the evaluation texts (`kind`, `h`, `text`, `shard`) to the shared folder."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -130,17 +200,22 @@ def build_shards(texts: DataFrame, uri: str, shards: dict[str, int]) -> DataFram
 def search_texts(index: dict[str, np.ndarray], codes: list[np.ndarray], cuts: list[int]) -> Iterator[tuple[int, int]]:
     """(query, text) pairs that are nearly the same, from the spans they share."""
     fmindex.ready(index)
-    queries = [fmindex.number(index, c) for c in codes]
+    if "bits" not in index:
+        index["bits"], index["beyond"] = _bits(index["bags"])
+    sizes, cut = np.array([len(c) for c in codes], dtype=np.int64), np.array(cuts, dtype=np.int64)
+    queries = np.split(fmindex.number(index, np.concatenate([*codes, np.zeros(0, dtype=np.int64)])), np.cumsum(sizes)[:-1])
     pairs = fmindex.partners(index, queries, cuts, NEAR)
-    sizes, cut = np.array([len(q) for q in queries], dtype=np.int64), np.array(cuts, dtype=np.int64)
     # the words that two texts have in common, in any order, bound those in the same order
     bags = _bags(queries)
+    bits, beyond = _bits(bags)
     kept = []
     for lo in range(0, pairs.shape[1], 20_000):
         a, b = pairs[:, lo : lo + 20_000]
-        shared = np.minimum(bags[a], index["bags"][b]).sum(axis=1, dtype=np.int64)
         first, second = np.maximum(cut[a], index["cuts"][b]), np.maximum(sizes[a] - cut[a], index["sizes"][b] - index["cuts"][b])
-        kept.append(shared >= fmindex.least_shared(first, NEAR) + fmindex.least_shared(second, NEAR))
+        least = fmindex.least_shared(first, NEAR) + fmindex.least_shared(second, NEAR)
+        keep = np.flatnonzero(np.bitwise_count(bits[a] & index["bits"][b]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[a], index["beyond"][b]) >= least)
+        keep = keep[np.minimum(bags[a[keep]], index["bags"][b[keep]]).sum(axis=1, dtype=np.int64) >= least[keep]]
+        kept.append(lo + keep)
     pairs = pairs[:, np.concatenate(kept)] if kept else pairs
     for a, b in sorted(pairs.T.tolist()):
         at, m = int(index["start"][b]), int(index["sizes"][b])
@@ -152,40 +227,50 @@ def near_classes(units_: DataFrame) -> DataFrame:
     """Pairs of a training text and an evaluation text that are nearly, not exactly, the same (`kind`, `h_train`, `h_eval`)."""
     spark = units_.sparkSession
     uri = shared_folder(spark, "rowloom-fm")
-    distinct = lambda rows: rows.groupBy("kind", "h").agg(F.first("text").alias("text"))
+    distinct = lambda rows: rows.groupBy("kind", "h").agg(*[F.first(c).alias(c) for c in ("text", "cell", "n")])
     held = durable(distinct(units_.where(F.col("split") != TRAIN)))
-    sizes = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.sum(F.size(F.split("text", "[ \t]")) + 1).alias("n")).collect()}
-    shards = {k: -(-n // SHARD_WORDS) for k, n in sizes.items()}
+    # cells are few, whatever the number of texts: each side has CLASSES short answers and pairs of steps
+    cells = [(r["kind"], r["cell"], r["n"]) for r in held.groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()]
+    cores = spark.sparkContext.defaultParallelism
+    shards, _ = _deal(cells, min(SHARD_WORDS, sum(n for *_, n in cells) // cores + 1))
     if not shards:
         return held.select("kind", F.col("h").alias("h_train"), F.col("h").alias("h_eval")).where("false")
-    per_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in shards.items()])
-    durable(build_shards(held.withColumn("shard", F.pmod(F.xxhash64("h"), per_kind).cast("int")), uri, shards))
-    training = distinct(units_.where(F.col("split") == TRAIN)).where(F.col("kind").isin(*shards))
-
-    def search(portion: list[tuple[str, str, np.ndarray, int]]) -> Iterator[pd.DataFrame]:
-        for kind, n in shards.items():
-            mine = [x for x in portion if x[0] == kind]
-            for shard in range(n if mine else 0):
-                index = read_arrays(uri, f"{kind}-{shard}.npz")
-                if index is None:  # no text fell into this shard
-                    continue
-                rows = []
-                for lo in range(0, len(mine), BATCH):
-                    part = mine[lo : lo + BATCH]
-                    pairs = search_texts(index, [c for _, _, c, _ in part], [cut for *_, cut in part])
-                    rows += [(kind, part[a][1], index["h"][b].decode()) for a, b in pairs]
-                yield pd.DataFrame([r for r in rows if r[1] != r[2]], columns=["kind", "h_train", "h_eval"])
+    durable(build_shards(_with_bin(held, shards, "shard"), uri))
+    texts = units_.where(F.col("split") == TRAIN)
+    words = texts.groupBy("kind", "cell").agg((F.approx_count_distinct("h") * F.avg("n")).cast("long").alias("n")).collect()
+    routes = _routes([(r["kind"], r["cell"]) for r in words], shards)
+    mine = [(r["kind"], r["cell"], r["n"]) for r in words if (r["kind"], r["cell"]) in routes]
+    # texts of like sizes and answers go to the same task, which reads only the shards where such texts lie
+    parts, n_parts = _deal(mine, min(PORTION_WORDS, sum(n for *_, n in mine) // (4 * cores) + 1))
+    training = _with_bin(distinct(texts), parts, "part").repartitionById(max(1, n_parts), F.col("part")).select("kind", "cell", "h", "text")
+
+    def search(portion: list[tuple[str, int, str, np.ndarray, int]]) -> Iterator[pd.DataFrame]:
+        wanted: dict[tuple[str, int], list] = defaultdict(list)
+        for x in portion:
+            for shard in routes[x[:2]]:
+                wanted[x[0], shard].append(x[2:])
+        for (kind, shard), mine in sorted(wanted.items(), key=lambda x: x[0]):
+            index = read_arrays(uri, f"{kind}-{shard}.npz")
+            if index is None:  # no text fell into this shard
+                continue
+            rows = []
+            for lo in range(0, len(mine), BATCH):
+                part = mine[lo : lo + BATCH]
+                pairs = search_texts(index, [c for _, c, _ in part], [cut for *_, cut in part])
+                rows += [(kind, part[a][0], index["h"][b].decode()) for a, b in pairs]
+            del index  # before the next one is read
+            yield pd.DataFrame([r for r in rows if r[1] != r[2]], columns=["kind", "h_train", "h_eval"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store: dict = {}
         portion: list = []
         size = 0
         for batch in batches:
-            for kind, h, text in zip(batch["kind"], batch["h"], batch["text"]):
+            for kind, cell, h, text in zip(batch["kind"], batch["cell"].tolist(), batch["h"], batch["text"]):
                 found, cut = _words(text)
-                portion.append((kind, h, _codes(found, store, cut), cut))
+                portion.append((kind, cell, h, _codes(found, store, cut), cut))
                 size += len(found)
-                if size >= PORTION_WORDS:  # every shard is read once for so many words
+                if size >= PORTION_WORDS:  # a shard is read once for so many words
                     yield from search(portion)
                     portion, size = [], 0
         yield from search(portion)
@@ -218,7 +303,8 @@ def overlapping_pairs(df: DataFrame) -> DataFrame:
     Kind `io`: question and answer are both the same or nearly so; kind `profile`: both have a profile, the same or nearly
     so. Nearly: NEAR of the longer text's words stand in the other in the same order, without case, marks, markup, spacing
     and Unicode form. Equal texts meet by digest; for others, shards of an FM-index over the distinct evaluation
-    texts are written to the shared folder and the distinct training texts are streamed through them by backward search;
+    texts, one for texts of like sizes and short answers, are written to the shared folder, and the distinct training texts are
+    streamed by backward search through those where near-same texts can lie;
     pairs with shared spans are verified by the longest common subsequence. Null questions and answers are empty;
     null or blank profiles take no part; rows without a split are neither side. Repeated rows each pair.
     """

@@ -269,6 +269,64 @@ def test_near_texts_with_words_put_in_and_left_out():
     assert len(expected) > 300 and found_pairs(held, training) == expected
 
 
+def test_only_texts_of_fitting_size_and_answer_are_listed():
+    rng = random.Random(13)
+    question = list(range(1, 31))
+    held = [(question, [900 + k % 2]) for k in range(4)] + [([rng.randrange(100, 160) for _ in range(30)], [900 + k % 2]) for k in range(196)]
+    text = lambda qa: np.array([*qa[0], *(x + (1 << 40) for x in qa[1])], dtype=np.int64)
+    index = fmindex.build([text(x) for x in held])
+    index["cuts"] = np.array([len(q) for q, _ in held])
+    fmindex.ready(index)
+    listed = lambda q, a: fmindex.partners(index, [fmindex.number(index, text((q, a)))], [len(q)], 0.8).T.tolist()
+    assert sorted(listed(question, [900])) == [[0, 0], [0, 2]]  # the same question beside the other label is no candidate
+    assert listed(question, [902]) == listed(question[:20], [900]) == []
+
+
+def test_near_texts_lie_in_cells_that_are_routed():
+    steps = np.searchsorted(overlap.EDGES, np.arange(700), side="right")
+    for n in range(560):
+        m = np.arange(n, int(n / overlap.NEAR + 1e-9) + 1)
+        assert (steps[m] - steps[n] <= 1).all()
+    rng = random.Random(17)
+    sizes = [(rng.randint(1, 300), rng.randint(0, 200)) for _ in range(3000)]
+    cell = lambda n, m: overlap._cell(f"label {n % 9}" if m <= fmindex.EXACT else "long", n, m)
+    cells: dict = {}
+    for n, m in sizes:
+        cells["io", cell(n, m)] = cells.get(("io", cell(n, m)), 0) + n + m
+    shards, count = overlap._deal([(k, c, n) for (k, c), n in cells.items()], 10_000)
+    routes = overlap._routes(list(cells), shards)
+    read = sum(len(routes["io", cell(n, m)]) for n, m in sizes) / len(sizes)
+    assert count > 40 and read < count / 4  # no text passes through every shard
+    for n, m in sizes[:200]:
+        for x, y in sizes:
+            if min(n, x) >= 0.8 * max(n, x) - 1e-9 and (min(m, y) >= 0.8 * max(m, y) - 1e-9) and (m > 3 or n % 9 == x % 9):
+                first, bins = shards["io", cell(x, y)]
+                assert set(range(first, first + bins)) <= set(routes["io", cell(n, m)])
+
+
+def test_overlap_over_many_shards_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 40)  # shards of one or two texts, and cells that fill several
+    monkeypatch.setattr(overlap, "PORTION_WORDS", 60)
+    rng = random.Random(19)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 3, 4, 5, 8, 10, 20, 25]))] for _ in range(14)]
+
+    def change(w):
+        w = list(w)
+        for _ in range(rng.randint(0, len(w) // 5)):
+            w.pop(rng.randrange(len(w))) if rng.random() < 0.5 else w.insert(rng.randint(0, len(w)), f"w{rng.randrange(60)}")
+        return " ".join(w)
+
+    data = [(None, None, rng.choice(["train", "ood_test"]), rng.choice([None, change(rng.choice(base))]), change(rng.choice(base[:5])), change(rng.choice(base[5:8] + [["5"], ["4"]]))) for _ in range(140)]
+    split = [[x.split() if x else None for x in r[3:]] for r in data]
+    same = lambda x, y: words.lcs_length(x, y) >= 0.8 * max(len(x), len(y)) - 1e-9
+    expected = set()
+    for a, x in enumerate(split):
+        for b, y in enumerate(split):
+            if data[a][2] == "train" != data[b][2] and ((same(x[1], y[1]) and same(x[2], y[2])) or (x[0] and y[0] and same(x[0], y[0]))):
+                expected.add((min(a, b), max(a, b)))
+    assert len(expected) > 50 and set(rows(overlap.overlapping_pairs(items(spark, *data)).select("sample_a", "sample_b"))) == expected
+
+
 # tokens
 
 
